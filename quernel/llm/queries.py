@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernel.llm import simhash
+from quernel.llm import hilbert, simhash
 from quernel.workspace import read_table
 
 
@@ -13,8 +14,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.document_shards(read_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def queries() -> dict:
-    return {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+    return {f.__name__: f for f in (op9_simhash_near_dedup, op10_hilbert_shards)}
 
 
 def oracle_sql() -> dict:
