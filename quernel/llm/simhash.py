@@ -111,7 +111,8 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
     comps = connected_components(exact_links(nodes, radius))
     # A component's smallest member is the smallest id of its smallest fingerprint group.
-    classes = nodes.join(comps, nodes.id == comps.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # Written out, so that the join below is one of two plain tables, whose hot keys Spark can split.
+    classes = stage(nodes.join(comps, nodes.id == comps.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stage(wide_links(reps, weak, flips, radius), "pairs")
     links = verified(pairs, picked.withColumnRenamed("doc_id", "id"), shingle, similarity)
     comps = connected_components(links)
-    classes = reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    classes = stage(reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id")), "classes")
     out = prints.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
     drop_staged(pairs)
     return out
