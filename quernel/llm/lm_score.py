@@ -96,7 +96,7 @@ def chunk_blocks(chunk: int, ids: list, lengths: list[int], stream: np.ndarray,
     known = np.array([i is not None for i in ids])
     head = np.array([i or 0 for i in ids], dtype="<i8").tobytes() + np.array(lengths, dtype="<i8").tobytes() + known.tobytes()
     packed = pack(table)
-    yield (chunk % buckets, chunk, 0, len(ids), head, len(packed).to_bytes(8, "big") + packed + pack(stream))
+    yield ((chunk ^ chunk >> 32) % buckets, chunk, 0, len(ids), head, len(packed).to_bytes(8, "big") + packed + pack(stream))
     grams = ngram_hashes(table[stream], _depth(np.array(lengths)), order)
     bounds = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)
     for n, g in enumerate(grams, 1):
