@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import hilbert, html_density, lm_score, matroska, simhash, toxicity
+from quernel.llm import hilbert, html_density, lm_score, matroska, packing, quality, simhash, toxicity
 from quernel.workspace import read_table
 
 
@@ -54,6 +54,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.fingerprint_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -73,7 +81,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op5_html_density, op7_toxicity, op9_simhash_near_dedup, op10_hilbert_shards)}
+    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op3_best_fit_packing, op5_html_density, op7_toxicity, op8_quality, op9_simhash_near_dedup, op10_hilbert_shards)}
 
 
 def oracle_sql() -> dict:
