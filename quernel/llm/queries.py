@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import hilbert, html_density, lm_score, matroska, packing, quality, simhash, toxicity
+from quernel.llm import hilbert, html_density, lm_score, matroska, packing, quality, repair, simhash, toxicity
 from quernel.workspace import read_table
 
 
@@ -58,6 +58,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return repair.token_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -81,7 +87,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op3_best_fit_packing, op5_html_density, op7_toxicity, op8_quality, op9_simhash_near_dedup, op10_hilbert_shards)}
+    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op3_best_fit_packing, op4_repair_tokens, op5_html_density, op7_toxicity, op8_quality, op9_simhash_near_dedup, op10_hilbert_shards)}
 
 
 def oracle_sql() -> dict:
