@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import hilbert, html_density, lm_score, matroska, packing, quality, repair, simhash, toxicity
+from quernel.llm import decontam, hilbert, html_density, lm_score, matroska, packing, quality, repair, simhash, toxicity
 from quernel.workspace import read_table
 
 
@@ -68,6 +68,10 @@ def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -87,7 +91,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op3_best_fit_packing, op4_repair_tokens, op5_html_density, op7_toxicity, op8_quality, op9_simhash_near_dedup, op10_hilbert_shards)}
+    return {f.__name__: f for f in (op1_lm_score, op2_matroska, op3_best_fit_packing, op4_repair_tokens, op5_html_density, op6_decontamination, op7_toxicity, op8_quality, op9_simhash_near_dedup, op10_hilbert_shards)}
 
 
 def oracle_sql() -> dict:

@@ -181,12 +181,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``(doc_id, component_id)`` of texts with shingle similarity >= ``similarity``.
 
     Equal texts are one row of the search. Candidates come from SimHash over ``fp_shingle`` words
-    (short shingles move fewer bits for the same edit), the decision from ``shingle`` words.
+    (short shingles move fewer bits for the same edit), the decision from ``shingle`` words. Rows
+    without an id are members of groups of equal texts only.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak), "prints")
     reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "close"), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), "r.fp", "r.close"), "reps")
-    pairs = stage(wide_links(reps, weak, flips, radius), "pairs")
+    pairs = stage(wide_links(reps.where("id IS NOT NULL"), weak, flips, radius), "pairs")
     links = verified(pairs, picked.withColumnRenamed("doc_id", "id"), shingle, similarity)
     comps = connected_components(links)
     classes = stage(reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id")), "classes")
