@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ END = 0  #: the id that ends each document
 # --- grammar ------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 8, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``ids`` of documents that end at ``ends`` -> (symbols, where documents end in them, rules).
 
     A pair must occur ``least`` times in a round, and at least twice after overlaps are resolved.
@@ -69,14 +70,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 8,
         pairs, rank = ordered[starts[often]], np.arange(len(often), 0, -1, dtype=np.int32)
         by_key = np.argsort(pairs)
         pairs, rank = pairs[by_key], rank[by_key]
-        # A bitmap of hashes spares most places the search for their pair.
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        seen = np.zeros(1 << 20, dtype=bool)
-        seen[slot(pairs)] = True
-        at = np.flatnonzero(seen[slot(key)] & inner)
-        found = np.searchsorted(pairs, key[at])
-        hit = pairs[np.minimum(found, len(pairs) - 1)] == key[at]
-        at, found = at[hit], np.minimum(found, len(pairs) - 1)[hit]
+        # One slot per hash holds a pair; of pairs that share a slot the commoner one has its turn now.
+        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        holder = np.full(1 << 20, -1, dtype=np.int32)
+        by_rank = np.argsort(rank)
+        holder[slot(pairs[by_rank])] = by_rank
+        found = holder[slot(key)]
+        at = np.flatnonzero((found >= 0) & inner)
+        at = at[pairs[found[at]] == key[at]]
+        found = found[at]
         value = np.zeros(len(x) + 1, dtype=np.int32)  # value[i + 1]: rank of the pair at i
         value[at + 1] = rank[found]
         keep = (value[at + 1] > value[at]) & (value[at + 1] >= value[np.minimum(at + 2, len(x))])
@@ -115,8 +117,26 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return out
 
 
+def spread(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``table`` that begin at ``starts`` and have these sizes, one after the other."""
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+    ends = np.cumsum(sizes, dtype=kind)
+    where = np.repeat(starts.astype(kind) - (ends - sizes.astype(kind)), sizes)
+    where += np.arange(total, dtype=kind)
+    return table[where]
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     """The ids that a run of symbols stands for."""
+    if len(rules) and len(symbols) > len(rules):  # unroll each rule once, then copy runs
+        lengths = rule_lengths(rules, terminals)
+        unrolled = expand(np.arange(terminals, terminals + len(rules)), rules, terminals)
+        x = np.asarray(symbols, dtype=np.int64)
+        rule = np.maximum(x - terminals, 0)
+        own = x < terminals
+        first = np.where(own, len(unrolled) + np.cumsum(own) - 1, (np.cumsum(lengths) - lengths)[rule])
+        return spread(np.concatenate([unrolled, x[own].astype("<u4")]), first, np.where(own, 1, lengths[rule]))
     x = np.asarray(symbols, dtype=np.int64)
     while True:
         rule = x >= terminals
@@ -139,7 +159,7 @@ def _array(values: np.ndarray, dtype: str) -> bytes:
     return struct.pack("<I", len(body)) + body
 
 
-def write_block(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 8) -> bytes:
+def write_block(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4) -> bytes:
     symbols, symbol_ends, rules = compress(ids, ends, terminals, rounds)
     head = MAGIC + struct.pack("<4I", terminals, len(rules), len(doc_ids), len(symbols))
     known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
@@ -198,7 +218,7 @@ class Encoder:
     worker, up to ``keep`` of them.
     """
 
-    def __init__(self, path: str, keep: int = 700_000) -> None:
+    def __init__(self, path: str, keep: int = 1_200_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -206,7 +226,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known, self.lengths, self.flat = keep, {}, np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        self.keep, self.known, self.lengths, self.flat = keep, {}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -219,8 +239,27 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype="<u4", count=int(lengths.sum())), lengths
+        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum())), lengths
+
+    def _encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of the words with a blank before each, in the order returned.
+
+        Words that neither begin nor end with white space are encoded some hundred a text, a line
+        each: a line feed before a blank is a token of its own, which then tells them apart.
+        """
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        plain = [w for w in words if w and "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
+        lines = ["\n".join([" " + w for w in plain[i : i + 256]]) + "\n" for i in range(0, len(plain), 256)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=sum(map(len, found)))
+        cuts = np.flatnonzero(flat == feed[0])
+        if len(feed) != 1 or len(cuts) != len(plain):
+            return *self._encode([" " + w for w in words]), words
+        odd = [w for w in words if not (w and "\n" not in w and not w[0].isspace() and not w[-1].isspace())]
+        odd_ids, odd_lengths = self._encode([" " + w for w in odd])
+        lengths = (np.diff(cuts, prepend=-1) - 1).astype(np.int32)
+        return np.concatenate([flat[flat != feed[0]], odd_ids]), np.concatenate([lengths, odd_lengths]), plain + odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text's followed by ``END``; and where each text ends."""
@@ -233,28 +272,26 @@ class Encoder:
         offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         flat = pieces.flatten()
         coded = flat.dictionary_encode()
-        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) + len(names) > self.keep:
-            self.known, self.lengths, self.flat = {}, np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+            self.known, self.lengths, self.flat = {}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
         new = [w for w in names if w not in self.known]
-        ids, lengths = self._encode([" " + w for w in new])
+        ids, lengths, new = self._encode_pieces(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
-        place = np.fromiter((self.known[w] for w in names), dtype=np.int64, count=len(names))[index]
+        place = np.fromiter(map(self.known.__getitem__, names), dtype=np.int32, count=len(names))[index]
         # What comes without a blank before it: the first piece of each text, or the text that is taken whole.
         first = flat.take(pa.array(offsets[:-1])).to_pylist()
         for i in whole:
             first[i] = texts[int(i)].as_py()
         first_ids, first_lengths = self._encode(first)
         table = np.concatenate([self.flat, first_ids, np.array([END], dtype="<u4")])
-        sizes = np.concatenate([self.lengths, first_lengths, [1]])
+        sizes = np.concatenate([self.lengths, first_lengths, np.ones(1, dtype=np.int32)])
         place[offsets[:-1]] = len(self.lengths) + np.arange(n)
         order = np.insert(place, offsets[1:], len(sizes) - 1)  # the end id after each text's pieces
-        starts, out_sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        total = int(out_sizes.sum())
-        where = np.repeat(starts - (np.cumsum(out_sizes) - out_sizes), out_sizes) + np.arange(total)
-        done = np.cumsum(out_sizes)
-        return table[where], done[offsets[1:] + np.arange(n)]
+        out_sizes = sizes[order]
+        done = np.cumsum(out_sizes, dtype=np.int64)[offsets[1:] + np.arange(n)]
+        return spread(table, (np.cumsum(sizes) - sizes)[order], out_sizes), done
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -263,7 +300,7 @@ SHARDS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 DOCS = "shard int, block int, place int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int = 8) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int = 4) -> DataFrame:
     """Encodes and stores all documents; the table of blocks, read from the stored files.
 
     Order: ascending id, null first; equal ids by text. ``tokenizer_path`` is read by every worker.
