@@ -206,7 +206,9 @@ class Block:
 # --- tokens -------------------------------------------------------------------------------------
 
 #: A blank between other white space, or at the end after such: only there is the text not the sum of its blank-led pieces.
-_NOT_APART = r"[\s\p{Z}\x0b\x1c-\x1f\x85] (?:[\s\p{Z}\x0b\x1c-\x1f\x85]|$)"
+_WHITE = r"\s\p{Z}\x0b\x1c-\x1f\x85"
+_NOT_APART = rf"[{_WHITE}] (?:[{_WHITE}]|$)"
+_PLAIN = rf"^[^{_WHITE}](?:[^\r]*[^{_WHITE}])?$"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -242,24 +244,23 @@ class Encoder:
         lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum())), lengths
 
-    def _encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Ids of the words with a blank before each, in the order returned.
+    def _encode_pieces(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with a blank before each, the plain ones first.
 
-        Words that neither begin nor end with white space are encoded some hundred a text, a line
-        each: a line feed before a blank is a token of its own, which then tells them apart.
+        Plain words neither begin nor end with white space and hold no carriage return. They are
+        encoded some hundred a text with carriage returns between: one that stands between other
+        than white space and a blank is a token of its own, which then tells the words apart.
         """
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        plain = [w for w in words if w and "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
-        lines = ["\n".join([" " + w for w in plain[i : i + 256]]) + "\n" for i in range(0, len(plain), 256)]
+        mark = self.tokenizer.encode("\r", add_special_tokens=False).ids
+        lines = ["\r".join([" " + w for w in plain[i : i + 256]]) + "\r" for i in range(0, len(plain), 256)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=sum(map(len, found)))
-        cuts = np.flatnonzero(flat == feed[0])
-        if len(feed) != 1 or len(cuts) != len(plain):
-            return *self._encode([" " + w for w in words]), words
-        odd = [w for w in words if not (w and "\n" not in w and not w[0].isspace() and not w[-1].isspace())]
+        cuts = np.flatnonzero(flat == mark[0])
+        if len(mark) != 1 or len(cuts) != len(plain):  # another kind of tokenizer
+            return self._encode([" " + w for w in [*plain, *odd]])
         odd_ids, odd_lengths = self._encode([" " + w for w in odd])
         lengths = (np.diff(cuts, prepend=-1) - 1).astype(np.int32)
-        return np.concatenate([flat[flat != feed[0]], odd_ids]), np.concatenate([lengths, odd_lengths]), plain + odd
+        return np.concatenate([flat[flat != mark[0]], odd_ids]), np.concatenate([lengths, odd_lengths])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text's followed by ``END``; and where each text ends."""
@@ -267,16 +268,20 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-        whole = np.flatnonzero(pc.match_substring_regex(texts, _NOT_APART).to_numpy(zero_copy_only=False))
-        pieces = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _NOT_APART), "", texts), " ")
+        together = pc.match_substring_regex(texts, _NOT_APART)
+        whole = np.flatnonzero(together.to_numpy(zero_copy_only=False))
+        pieces = pc.split_pattern(pc.if_else(together, "", texts) if len(whole) else texts, " ")
         offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         flat = pieces.flatten()
         coded = flat.dictionary_encode()
         names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) + len(names) > self.keep:
             self.known, self.lengths, self.flat = {}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
-        new = [w for w in names if w not in self.known]
-        ids, lengths, new = self._encode_pieces(new)
+        is_plain = pc.match_substring_regex(coded.dictionary, _PLAIN).to_numpy(zero_copy_only=False).tolist()
+        plain = [w for w, ok in zip(names, is_plain, strict=True) if ok and w not in self.known]
+        odd = [w for w, ok in zip(names, is_plain, strict=True) if not ok and w not in self.known]
+        ids, lengths = self._encode_pieces(plain, odd)
+        new = plain + odd
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
         place = np.fromiter(map(self.known.__getitem__, names), dtype=np.int32, count=len(names))[index]
