@@ -12,7 +12,8 @@ Two probing schemes:
   no link is missed.
 * ``wide_links``: three segments and larger distances. Bits that flip between similar texts are
   those whose vote was close, so the ball holds up to ``flips`` of the ``weak`` closest votes of
-  each segment. Links are then verified on the whole texts by word-shingle Jaccard similarity.
+  each segment. Matches whose MinHash sketches lie too far apart go; the rest is verified on the
+  whole texts by word-shingle Jaccard similarity.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows that share a
 fingerprint are one node of the link graph, so a group of any number of copies is one row there.
@@ -21,6 +22,7 @@ fingerprint are one node of the link graph, so a group of any number of copies i
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.components import connected_components
+from quernel.operators.components import connected_components
 from quernel.workspace import drop_staged, stage
 
 #: (lowest bit, width) of each segment.
@@ -64,25 +66,51 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, weak: int = 0) -> DataFrame:
+_TURNS = (np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sketch_of(text: str | None, k: int) -> bytes:
+    """128 bits, each from the least of the shingle hashes in an order of its own (one-bit MinHash).
+
+    Two texts of similarity s agree in a bit with probability (1 + s) / 2.
+    """
+    h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text), k))], dtype=np.uint64)
+    low = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 4096):
+        low = np.minimum(low, ((h[at : at + 4096, None] ^ (h[at : at + 4096, None] >> np.uint64(29))) * _TURNS).min(axis=0))
+    return np.packbits(np.bitwise_count(low) & 1, bitorder="little").tobytes()
+
+
+def sketch_limit(similarity: float) -> int:
+    """Bits of two sketches that may differ: the mean at this similarity and 3.3 standard deviations."""
+    p = (1 - similarity) / 2
+    return math.ceil(128 * p + 3.3 * math.sqrt(128 * p * (1 - p)))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, weak: int = 0, sketch: int = 5) -> DataFrame:
     """``(doc_id, fp long)``; with ``weak`` also ``close``, the places of the closest votes of each wide
-    segment, and ``same``, a digest that equal texts share."""
+    segment, ``s0`` and ``s1``, a sketch of the set of ``sketch``-word shingles, and ``same``, a digest
+    that equal texts share."""
 
     def run(batches):
         for batch in batches:
-            fps, close, same = [], [], []
+            fps, close, same, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 votes, n = votes_of(text, shingle)
                 fps.append(np.packbits(votes * 2 > n, bitorder="little").tobytes())
                 if weak:
                     margin = np.abs(votes * 2 - n)
                     close.append(bytes(lo + int(i) for lo, width in WIDE_SEGMENTS for i in np.argsort(margin[lo : lo + width], kind="stable")[:weak]))
+                    sketches.append(sketch_of(text, sketch))
                     same.append(hashlib.md5((text or "").encode()).digest())
             out = [batch.column(0), pa.array(np.frombuffer(b"".join(fps), dtype="<i8"))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(close, pa.binary()), pa.array(same, pa.binary())] if weak else out, ["doc_id", "fp", "close", "same"][: 4 if weak else 2])
+            if weak:
+                halves = np.frombuffer(b"".join(sketches), dtype="<i8").reshape(-1, 2)
+                out += [pa.array(close, pa.binary()), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", "s0", "s1", "same"][: len(out)])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long" + ", close binary, same binary" * bool(weak))
+    return picked.mapInArrow(run, "doc_id long, fp long" + ", close binary, s0 long, s1 long, same binary" * bool(weak))
 
 
 def _key(seg: int, low: int, width: int, fp):
@@ -120,10 +148,10 @@ def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, leaders: int = 2) -> DataFrame:
+def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int = 128, leaders: int = 2) -> DataFrame:
     """Candidate pairs ``(src, dst)`` within ``radius`` bits, at most ``leaders`` for each probe.
 
-    ``prints(id, fp, close)``. The rows of a table entry are led by the ``leaders`` first ones in an
+    ``prints(id, fp, close, s0, s1)``; sketches may differ in ``apart`` bits. The rows of a table entry are led by the ``leaders`` first ones in an
     order that differs from entry to entry; each probe is held against these only. So the work
     stays in proportion to the rows however many texts are alike, and as one fingerprint has over a
     hundred entries, a link that one entry misses shows up in another.
@@ -142,16 +170,17 @@ def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, leaders: i
                     keys.append(((flipped >> np.uint64(low)) & np.uint64((1 << width) - 1)) | np.uint64(s << 40))
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(batch.column(0).to_numpy(), n)), pa.array(np.tile(fp.view(np.int64), n)), pa.array(np.concatenate(keys).view(np.int64))],
-                ["id", "fp", "key"],
+                [*(pa.array(np.tile(batch.column(c).to_numpy(), n)) for c in (0, 1, 3, 4)), pa.array(np.concatenate(keys).view(np.int64))],
+                ["id", "fp", "s0", "s1", "key"],
             )
 
-    table = prints.select(F.col("id").alias("t_id"), F.col("fp").alias("t_fp"), F.explode(F.array(*[_key(s, low, w, F.col("fp")) for s, (low, w) in enumerate(WIDE_SEGMENTS)])).alias("key"))
-    order = F.struct(F.xxhash64("key", "t_id").alias("rank"), "t_id", "t_fp")
+    table = prints.select(F.col("id").alias("t_id"), F.col("fp").alias("t_fp"), F.col("s0").alias("t_s0"), F.col("s1").alias("t_s1"), F.explode(F.array(*[_key(s, low, w, F.col("fp")) for s, (low, w) in enumerate(WIDE_SEGMENTS)])).alias("key"))
+    order = F.struct(F.xxhash64("key", "t_id").alias("rank"), "t_id", "t_fp", "t_s0", "t_s1")
     led = table.groupBy("key").agg(*[(F.min if i % 2 == 0 else F.max)(order).alias(f"l{i}") for i in range(min(2, leaders))])
-    led = led.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(min(2, leaders))]))).alias("l")).select("key", "l.t_id", "l.t_fp")
-    probes = prints.select("id", "fp", "close").mapInArrow(probe, "id long, fp long, key long")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("t_fp"))) <= radius) & (F.col("id") != F.col("t_id"))
+    led = led.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(min(2, leaders))]))).alias("l")).select("key", "l.t_id", "l.t_fp", "l.t_s0", "l.t_s1")
+    probes = prints.select("id", "fp", "close", "s0", "s1").mapInArrow(probe, "id long, fp long, s0 long, s1 long, key long")
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}")))
+    near = (differ("fp") <= radius) & (differ("s0") + differ("s1") <= apart) & (F.col("id") != F.col("t_id"))
     found = probes.join(led, (probes.key == led.key) & near)
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
@@ -185,9 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id are members of groups of equal texts only.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak), "prints")
-    reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "close"), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), "r.fp", "r.close"), "reps")
-    pairs = stage(wide_links(reps.where("id IS NOT NULL"), weak, flips, radius), "pairs")
+    prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak, sketch=shingle), "prints")
+    columns = ("fp", "close", "s0", "s1")
+    reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", *columns), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in columns]), "reps")
+    pairs = stage(wide_links(reps.where("id IS NOT NULL"), weak, flips, radius, sketch_limit(similarity)), "pairs")
     links = verified(pairs, picked.withColumnRenamed("doc_id", "id"), shingle, similarity)
     comps = connected_components(links)
     classes = stage(reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id")), "classes")

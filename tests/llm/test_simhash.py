@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quernel.llm import simhash
-from quernel.llm.components import connected_components
+from quernel.operators.components import connected_components
 
 
 def brute_components(nodes, linked):
@@ -110,6 +110,20 @@ def test_near_duplicates_find_similar_texts(spark):
     assert got[999] == 999
 
 
+def test_sketches_estimate_similarity():
+    rnd = random.Random(2)
+    base = [f"{rnd.randrange(4000)}x" for _ in range(400)]
+    for edits in (0, 5, 9, 200):
+        other = list(base)
+        for i in rnd.sample(range(400), edits):
+            other[i] = "new"
+        a, b = " ".join(base), " ".join(other)
+        same = simhash.shingle_jaccard(a, b, 5)
+        apart = (int.from_bytes(simhash.sketch_of(a, 5), "big") ^ int.from_bytes(simhash.sketch_of(b, 5), "big")).bit_count()
+        assert abs(apart / 128 - (1 - same) / 2) < 0.15
+        assert same < 0.8 or apart <= simhash.sketch_limit(0.8)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(5, 5), (7, 8)]
     df = spark.createDataFrame([*edges, (None, 3)], "src long, dst long")
