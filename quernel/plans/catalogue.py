@@ -152,16 +152,22 @@ def _legs(spark, sf_dir):
 
 
 _FAKE = "list_transform(range(0, 64), lambda i: (CAST('0x' || content_hash[i % 64 + 1] AS INTEGER) - 8) / 8.0)"
-_RRF = _bm25_sql(ANY_OF.split(), "or", 30) + f""", bm AS (SELECT content_hash, row_number() OVER (ORDER BY rank DESC, id) AS p FROM ranked),
+
+
+def _rrf_sql(words: list[str], limit: int) -> str:
+    return _bm25_sql(words, "or", 30) + f""", bm AS (SELECT content_hash, row_number() OVER (ORDER BY rank DESC, id) AS p FROM ranked),
 fv AS (SELECT content_hash, {_FAKE} AS embedding FROM memories_v), fq AS (SELECT embedding AS q FROM fv ORDER BY content_hash LIMIT 1),
 vd AS (SELECT content_hash, {_L2} AS dist FROM fv CROSS JOIN fq ORDER BY dist, content_hash LIMIT 30),
 ve AS (SELECT content_hash, row_number() OVER (ORDER BY greatest(0, 1 - dist / 2) DESC, content_hash) AS p FROM vd),
 u AS (SELECT content_hash, p, 0 AS leg FROM bm UNION ALL SELECT content_hash, p, 1 FROM ve),
 g AS (SELECT content_hash, round(sum(1.0 / (60 + p)), 12) AS s, min(leg * 1000 + p) AS first FROM u GROUP BY 1),
-fused AS (SELECT content_hash, s, CASE WHEN first < 1000 THEN 'bm25' ELSE 'vector' END AS source, row_number() OVER (ORDER BY s DESC, first) AS rank FROM g ORDER BY s DESC, first LIMIT 15)
+fused AS (SELECT content_hash, s, CASE WHEN first < 1000 THEN 'bm25' ELSE 'vector' END AS source, row_number() OVER (ORDER BY s DESC, first) AS rank FROM g ORDER BY s DESC, first LIMIT {limit})
 """
 
 
+_RRF = _rrf_sql(ANY_OF.split(), 15)
+
+
 @query(_RRF + "SELECT content_hash, round(s, 6) AS score, source, CAST(rank AS INTEGER) AS rank FROM fused")
 def rrf_fuse(spark, sf_dir):
     return fusion.rrf(_legs(spark, sf_dir)[1], limit=15).select("content_hash", F.round("score", 6).alias("score"), "source", "rank")
@@ -185,11 +191,12 @@ def _tables(spark, sf_dir, e=None) -> search.Tables:
     return search.Tables(m, views.nodes(spark, sf_dir), e if e is not None else views.place_edges(spark, sf_dir), views.aliases(spark, sf_dir), v)
 
 
-@query()
+#: No node is named like a word of the query, so the graph leg is empty there.
+@query(_rrf_sql(["idiot", "trash"], 10) + "SELECT m.content, m.date, m.mood, m.event_time, round(s, 4) AS score, source, content_hash, CAST(rank AS INTEGER) AS rank FROM fused JOIN memories_v m USING (content_hash)")
 def hybrid_search(spark, sf_dir):
     t = _tables(spark, sf_dir)
     q = t.vectors.orderBy("content_hash").first().embedding
-    return search.search_memories(t, "idiot trash", q, limit=10, mode="or", as_of=MEMORY_DAY)
+    return search.search_memories(t, "Idiot, trash!", q, limit=10, mode="or", as_of=MEMORY_DAY)
 
 
 @query()

@@ -16,12 +16,14 @@ from quernel.functions.embedding import Embedder, FakeEmbedder, with_embedding
 from quernel.functions.text import nocase
 from quernel.operators import communities, graph, resolve, search, temporal, timeline
 from quernel.sources.store import Store, parse_entities, parse_relations
+from quernel.workspace import ship
 
 ZONE = timezone(timedelta(hours=7))
 
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
+        ship(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.embedder = embedder or FakeEmbedder(128)
 

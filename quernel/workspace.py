@@ -8,10 +8,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application; they need it to run its functions."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='quernel-code-')}/quernel.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; in local mode, where one machine is all there is, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
