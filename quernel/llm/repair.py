@@ -208,7 +208,10 @@ class Block:
 #: A blank between other white space, or at the end after such: only there is the text not the sum of its blank-led pieces.
 _WHITE = r"\s\p{Z}\x0b\x1c-\x1f\x85"
 _NOT_APART = rf"[{_WHITE}] (?:[{_WHITE}]|$)"
-_PLAIN = rf"^[^{_WHITE}](?:[^\r]*[^{_WHITE}])?$"
+_PLAIN = rf"^\x00?[^\x00{_WHITE}](?:[^\r]*[^{_WHITE}])?$"
+#: Marks after a word, and line feeds between words, are tokens of their own: pieces without a blank,
+#: told by a leading NUL. (A text that has a NUL is encoded whole.)
+_CUTS = ((rf"(\pL)([.,!?;:%$&*#|]+)([{_WHITE}]|$)", "\\1 \x00\\2\\3"), (rf"([^{_WHITE}])\n([^{_WHITE}])", "\\1 \x00\n \x00\\2"))
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -245,20 +248,21 @@ class Encoder:
         return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum())), lengths
 
     def _encode_pieces(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words with a blank before each, the plain ones first.
+        """Ids of the pieces, each with a blank before it unless it is marked, the plain ones first.
 
-        Plain words neither begin nor end with white space and hold no carriage return. They are
-        encoded some hundred a text with carriage returns between: one that stands between other
-        than white space and a blank is a token of its own, which then tells the words apart.
+        Plain ones neither begin nor end with white space and hold no carriage return. They are
+        encoded some hundred a text with carriage returns between: one that has no white space
+        before it, and none but a single blank after it, is a token of its own and tells them apart.
         """
         mark = self.tokenizer.encode("\r", add_special_tokens=False).ids
-        lines = ["\r".join([" " + w for w in plain[i : i + 256]]) + "\r" for i in range(0, len(plain), 256)]
+        bare = lambda words: [w[1:] if w[:1] == "\0" else " " + w for w in words]
+        lines = ["\r".join(bare(plain[i : i + 256])) + "\r" for i in range(0, len(plain), 256)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=sum(map(len, found)))
         cuts = np.flatnonzero(flat == mark[0])
         if len(mark) != 1 or len(cuts) != len(plain):  # another kind of tokenizer
-            return self._encode([" " + w for w in [*plain, *odd]])
-        odd_ids, odd_lengths = self._encode([" " + w for w in odd])
+            return self._encode(bare([*plain, *odd]))
+        odd_ids, odd_lengths = self._encode(bare(odd))
         lengths = (np.diff(cuts, prepend=-1) - 1).astype(np.int32)
         return np.concatenate([flat[flat != mark[0]], odd_ids]), np.concatenate([lengths, odd_lengths])
 
@@ -268,9 +272,12 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-        together = pc.match_substring_regex(texts, _NOT_APART)
+        together = pc.or_(pc.match_substring_regex(texts, _NOT_APART), pc.match_substring(texts, "\0"))
         whole = np.flatnonzero(together.to_numpy(zero_copy_only=False))
-        pieces = pc.split_pattern(pc.if_else(together, "", texts) if len(whole) else texts, " ")
+        cut = pc.if_else(together, "", texts) if len(whole) else texts
+        for pattern, by in _CUTS:
+            cut = pc.replace_substring_regex(cut, pattern, by)
+        pieces = pc.split_pattern(cut, " ")
         offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         flat = pieces.flatten()
         coded = flat.dictionary_encode()
