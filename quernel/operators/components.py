@@ -16,8 +16,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     self-loops and repeated edges are harmless; rows with a null end are ignored. Each round is a
     table in the shared folder, so a lost executor costs one round at most.
     """
-    both = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    both = stage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    # Both directions from one pass: the edges may be costly to make.
+    ends = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
+    both = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(ends.alias("e")).select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
+    both = stage(both.distinct(), "links")
     labels = stage(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).select(F.col("src").alias("node"), "label"), "labels")
     for _ in range(max_rounds):
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
