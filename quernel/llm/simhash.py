@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.components import connected_components
@@ -66,30 +67,31 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-_TURNS = (np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SKETCH = ("s0", "s1", "s2", "s3")  #: columns of 64 bits
+_TURNS = (np.arange(1, 64 * len(SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def sketch_of(text: str | None, k: int) -> bytes:
-    """128 bits, each from the least of the shingle hashes in an order of its own (one-bit MinHash).
+    """Some bits, each from the least of the shingle hashes in an order of its own (one-bit MinHash).
 
     Two texts of similarity s agree in a bit with probability (1 + s) / 2.
     """
     h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text), k))], dtype=np.uint64)
-    low = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 4096):
-        low = np.minimum(low, ((h[at : at + 4096, None] ^ (h[at : at + 4096, None] >> np.uint64(29))) * _TURNS).min(axis=0))
+    low = np.full(len(_TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 2048):
+        low = np.minimum(low, ((h[at : at + 2048, None] ^ (h[at : at + 2048, None] >> np.uint64(29))) * _TURNS).min(axis=0))
     return np.packbits(np.bitwise_count(low) & 1, bitorder="little").tobytes()
 
 
 def sketch_limit(similarity: float) -> int:
     """Bits of two sketches that may differ: the mean at this similarity and 3.3 standard deviations."""
-    p = (1 - similarity) / 2
-    return math.ceil(128 * p + 3.3 * math.sqrt(128 * p * (1 - p)))
+    p, n = (1 - similarity) / 2, len(_TURNS)
+    return math.ceil(n * p + 3.3 * math.sqrt(n * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, weak: int = 0, sketch: int = 5) -> DataFrame:
     """``(doc_id, fp long)``; with ``weak`` also ``close``, the places of the closest votes of each wide
-    segment, ``s0`` and ``s1``, a sketch of the set of ``sketch``-word shingles, and ``same``, a digest
+    segment, ``s0`` to ``s3``, a sketch of the set of ``sketch``-word shingles, and ``same``, a digest
     that equal texts share."""
 
     def run(batches):
@@ -105,12 +107,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     same.append(hashlib.md5((text or "").encode()).digest())
             out = [batch.column(0), pa.array(np.frombuffer(b"".join(fps), dtype="<i8"))]
             if weak:
-                halves = np.frombuffer(b"".join(sketches), dtype="<i8").reshape(-1, 2)
-                out += [pa.array(close, pa.binary()), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(same, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", "s0", "s1", "same"][: len(out)])
+                halves = np.frombuffer(b"".join(sketches), dtype="<i8").reshape(-1, len(SKETCH))
+                out += [pa.array(close, pa.binary()), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in range(len(SKETCH))), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", *SKETCH, "same"][: len(out)])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long" + ", close binary, s0 long, s1 long, same binary" * bool(weak))
+    return picked.mapInArrow(run, "doc_id long, fp long" + f", close binary, {' long, '.join(SKETCH)} long, same binary" * bool(weak))
 
 
 def _key(seg: int, low: int, width: int, fp):
@@ -148,13 +150,15 @@ def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int = 128, leaders: int = 2) -> DataFrame:
-    """Candidate pairs ``(src, dst)`` within ``radius`` bits, at most ``leaders`` for each probe.
+def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int) -> DataFrame:
+    """Candidate pairs ``(src, dst)`` within ``radius`` bits, at most two for each probe.
 
-    ``prints(id, fp, close, s0, s1)``; sketches may differ in ``apart`` bits. The rows of a table entry are led by the ``leaders`` first ones in an
-    order that differs from entry to entry; each probe is held against these only. So the work
-    stays in proportion to the rows however many texts are alike, and as one fingerprint has over a
-    hundred entries, a link that one entry misses shows up in another.
+    ``prints(id, fp, close, s0, ..)``; sketches may differ in ``apart`` bits. The rows of a table entry
+    are led by two of them, and each probe is held against these only: the first one in an order of
+    all ids, so that a large group gathers around the same few leaders, and the first one in an
+    order of the entry's own, which differs from entry to entry. So the work stays in proportion to
+    the rows however many texts are alike, and as one fingerprint has over a hundred entries, a
+    link that one entry misses shows up in another.
     """
     masks = [c for f in range(flips + 1) for c in combinations(range(weak), f)]
 
@@ -170,17 +174,18 @@ def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int
                     keys.append(((flipped >> np.uint64(low)) & np.uint64((1 << width) - 1)) | np.uint64(s << 40))
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.tile(batch.column(c).to_numpy(), n)) for c in (0, 1, 3, 4)), pa.array(np.concatenate(keys).view(np.int64))],
-                ["id", "fp", "s0", "s1", "key"],
+                [*(pa.array(np.tile(batch.column(c).to_numpy(), n)) for c in (0, 1, *range(3, 3 + len(SKETCH)))), pa.array(np.concatenate(keys).view(np.int64))],
+                ["id", "fp", *SKETCH, "key"],
             )
 
-    table = prints.select(F.col("id").alias("t_id"), F.col("fp").alias("t_fp"), F.col("s0").alias("t_s0"), F.col("s1").alias("t_s1"), F.explode(F.array(*[_key(s, low, w, F.col("fp")) for s, (low, w) in enumerate(WIDE_SEGMENTS)])).alias("key"))
-    order = F.struct(F.xxhash64("key", "t_id").alias("rank"), "t_id", "t_fp", "t_s0", "t_s1")
-    led = table.groupBy("key").agg(*[(F.min if i % 2 == 0 else F.max)(order).alias(f"l{i}") for i in range(min(2, leaders))])
-    led = led.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(min(2, leaders))]))).alias("l")).select("key", "l.t_id", "l.t_fp", "l.t_s0", "l.t_s1")
-    probes = prints.select("id", "fp", "close", "s0", "s1").mapInArrow(probe, "id long, fp long, s0 long, s1 long, key long")
+    table = prints.select(F.col("id").alias("t_id"), F.col("fp").alias("t_fp"), *[F.col(c).alias(f"t_{c}") for c in SKETCH], F.explode(F.array(*[_key(s, low, w, F.col("fp")) for s, (low, w) in enumerate(WIDE_SEGMENTS)])).alias("key"))
+    rows = ("t_id", "t_fp", *(f"t_{c}" for c in SKETCH))
+    first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("rank"), *rows))
+    led = table.groupBy("key").agg(first("t_id").alias("l0"), first("key", "t_id").alias("l1"))
+    led = led.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in rows]) for x in ("l0", "l1")]))).alias("l")).select("key", "l.*")
+    probes = prints.select("id", "fp", "close", *SKETCH).mapInArrow(probe, f"id long, fp long, {' long, '.join(SKETCH)} long, key long")
     differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}")))
-    near = (differ("fp") <= radius) & (differ("s0") + differ("s1") <= apart) & (F.col("id") != F.col("t_id"))
+    near = (differ("fp") <= radius) & (reduce(Column.__add__, map(differ, SKETCH)) <= apart) & (F.col("id") != F.col("t_id"))
     found = probes.join(led, (probes.key == led.key) & near)
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
@@ -215,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak, sketch=shingle), "prints")
-    columns = ("fp", "close", "s0", "s1")
+    columns = ("fp", "close", *SKETCH)
     reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", *columns), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in columns]), "reps")
     pairs = stage(wide_links(reps.where("id IS NOT NULL"), weak, flips, radius, sketch_limit(similarity)), "pairs")
     links = verified(pairs, picked.withColumnRenamed("doc_id", "id"), shingle, similarity)

@@ -120,7 +120,7 @@ def test_sketches_estimate_similarity():
         a, b = " ".join(base), " ".join(other)
         same = simhash.shingle_jaccard(a, b, 5)
         apart = (int.from_bytes(simhash.sketch_of(a, 5), "big") ^ int.from_bytes(simhash.sketch_of(b, 5), "big")).bit_count()
-        assert abs(apart / 128 - (1 - same) / 2) < 0.15
+        assert abs(apart / 256 - (1 - same) / 2) < 0.15
         assert same < 0.8 or apart <= simhash.sketch_limit(0.8)
 
 
