@@ -47,60 +47,62 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4,
     """``ids`` of documents that end at ``ends`` -> (symbols, where documents end in them, rules).
 
     A pair must occur ``least`` times in a round, and at least twice after overlaps are resolved.
+    With up to 60,000 terminals symbols stay below 2^16, so that a pair is one 32-bit number; other
+    grammars take 32-bit symbols and 64-bit pairs.
     """
-    x = np.ascontiguousarray(ids, dtype=np.uint32)
-    last = np.zeros(len(x), dtype=bool)
-    last[np.asarray(ends, dtype=np.int64)[np.diff(ends, prepend=0) > 0] - 1] = True
+    small = terminals <= 60_000
+    symbol, pair, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
+    spin, down = (pair(0x9E3779B1), pair(32 - 18)) if small else (pair(0x9E3779B97F4A7C15), pair(64 - 18))
+    slot = lambda k: ((k * spin) >> down).astype(np.intp)
+    no_pair = pair((1 << 2 * half) - 1)  # the last symbol is never made, so no pair looks like this
+    x = np.ascontiguousarray(ids, dtype=symbol)
+    filled = np.diff(ends, prepend=0) > 0
+    stops = np.asarray(ends, dtype=np.int64)[filled]  # where documents end by now
     rules: list[np.ndarray] = []
     made = terminals
     for _ in range(rounds):
-        if len(x) < 2:
-            break
-        key = (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(key[inner])
-        if not len(ordered):
+        room = min(per_round, 32_000, (1 << half) - 1 - made)
+        if len(x) < 2 or room < 1:
             break
+        key = x[:-1].astype(pair)
+        key <<= pair(half)
+        key |= x[1:]
+        key[stops[:-1] - 1] = no_pair
+        ordered = np.sort(key)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(starts, append=len(ordered))
-        often = np.flatnonzero(counts >= least)
+        often = np.flatnonzero((counts >= least) & (ordered[starts] != no_pair))
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
-        pairs, rank = ordered[starts[often]], np.arange(len(often), 0, -1, dtype=np.int32)
-        by_key = np.argsort(pairs)
-        pairs, rank = pairs[by_key], rank[by_key]
+        often = often[np.argsort(-counts[often], kind="stable")[:room]]
+        pairs, none = ordered[starts[often]], len(often)  # the commonest first
         # One slot per hash holds a pair; of pairs that share a slot the commoner one has its turn now.
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        holder = np.full(1 << 20, -1, dtype=np.int32)
-        by_rank = np.argsort(rank)
-        holder[slot(pairs[by_rank])] = by_rank
-        found = holder[slot(key)]
-        at = np.flatnonzero((found >= 0) & inner)
-        at = at[pairs[found[at]] == key[at]]
-        found = found[at]
-        value = np.zeros(len(x) + 1, dtype=np.int32)  # value[i + 1]: rank of the pair at i
-        value[at + 1] = rank[found]
-        keep = (value[at + 1] > value[at]) & (value[at + 1] >= value[np.minimum(at + 2, len(x))])
-        at, found = at[keep], found[keep]
-        used = np.bincount(found, minlength=len(pairs))
+        holder = np.full(1 << 18, none, dtype=np.int16)
+        holder[slot(pairs[::-1])] = np.arange(none, dtype=np.int16)[::-1]
+        held = np.take(holder, slot(key), mode="clip")
+        right = np.take(np.append(pairs, no_pair), held, mode="clip") == key
+        # Rank of the pair at each place, between two zeros; 0 where there is none to replace.
+        value = np.zeros(len(key) + 2, dtype=np.int16)
+        value[1:-1] = (np.int16(none) - held) * right
+        at = np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:]))
+        found = held[at]
+        used = np.bincount(found, minlength=none)
         good = used[found] >= 2
         at, found = at[good], found[good]
         if not len(at):
             break
         number = np.cumsum(used >= 2) - 1
         chosen = pairs[used >= 2]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
+        rules.append(np.stack([chosen >> pair(half), chosen & pair((1 << half) - 1)], axis=1).astype("<u4"))
         x = x.copy()
-        x[at] = made + number[found]
-        last[at] = last[at + 1]
+        x[at] = (made + number[found]).astype(symbol)
         stay = np.ones(len(x), dtype=bool)
         stay[at + 1] = False
-        x, last = x[stay], last[stay]
+        x = x[stay]
+        stops = stops - np.searchsorted(at, stops)  # a pair that begins before an end lies before it
         made += len(chosen)
     symbol_ends = np.zeros(len(ends), dtype=np.int64)
-    filled = np.diff(ends, prepend=0) > 0
-    symbol_ends[filled] = np.flatnonzero(last) + 1
+    symbol_ends[filled] = stops
     return x, np.maximum.accumulate(symbol_ends) if len(symbol_ends) else symbol_ends, np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u4")
 
 
