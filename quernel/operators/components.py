@@ -11,24 +11,29 @@ from quernel.workspace import drop_staged, stage
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(src, dst)`` of longs or strings -> ``(node, component)``, component = smallest node reachable.
 
-    Every round takes the smallest label among the neighbours (a map-side combined ``min``) and
-    then jumps to the label of the label, so long chains halve. Nodes without an edge don't appear;
-    self-loops and repeated edges are harmless; rows with a null end are ignored. Each round is a
-    table in the shared folder, so a lost executor costs one round at most.
+    By contraction: every node points to its smallest neighbour if that is smaller (a map-side
+    combined ``min``), pointers jump once, and edges are moved to what their ends point to. Edges
+    within a group are gone after the first round or two, so the edge table is read once at full
+    size, and rounds grow with the logarithm of the longest chain. Nodes without an edge don't
+    appear; self-loops and repeated edges are harmless; rows with a null end are ignored. Each
+    round is written to the shared folder, so a lost executor costs one round at most.
     """
-    # Both directions from one pass: the edges may be costly to make.
-    ends = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    both = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(ends.alias("e")).select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
-    both = stage(both.distinct(), "links")
-    labels = stage(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).select(F.col("src").alias("node"), "label"), "labels")
+    ends = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    rest = stage(ends.distinct(), "links")
+    placed = stage(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node")), "placed")
     for _ in range(max_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.src, "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("root"), F.col("label").alias("above"))
-        moved = stage(low.join(up, low.low == up.root, "left").select("node", "was", F.least("low", "above").alias("label")), "labels")
-        drop_staged(labels)
-        labels = moved.select("node", "label")
-        if moved.where("was <> label").isEmpty():
-            drop_staged(both)
-            return labels.select("node", F.col("label").alias("component"))
+        if rest.where("src <> dst").isEmpty():
+            drop_staged(rest)
+            return placed
+        # The larger end of an edge may point to the smaller one; the smaller one never points up.
+        parent = stage(rest.where("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")), "parents")
+        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        jumped = stage(parent.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "parents")
+        a = rest.join(jumped.withColumnRenamed("node", "src"), "src", "left").select(F.coalesce("parent", "src").alias("a"), "dst")
+        b = a.join(jumped.withColumnRenamed("node", "dst"), "dst", "left").select("a", F.coalesce("parent", "dst").alias("b"))
+        moved = stage(b.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        onward = stage(placed.join(jumped.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "placed")
+        for done in (rest, placed, parent, jumped):
+            drop_staged(done)
+        rest, placed = moved, onward
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
