@@ -313,10 +313,14 @@ def shortest_path_len(spark, sf_dir):
     return graph.shortest_path_lengths(views.place_edges(spark, sf_dir), "Supplier#1", 6)
 
 
-@query()
+@query(with_views("""WITH adj AS (SELECT lower(source) AS node, lower(target) AS other, target AS spelling, id FROM places_v UNION ALL SELECT lower(target), lower(source), source, id FROM places_v),
+walk AS (SELECT 'customer#1' AS node, ['Customer#1'] AS names, ['customer#1'] AS seen, '' AS way, 0 AS d
+  UNION ALL SELECT other, list_append(names, spelling), list_append(seen, other), way || chr(1) || id, d + 1 FROM walk JOIN adj USING (node) WHERE d < 4 AND NOT list_contains(seen, other)),
+best AS (SELECT names FROM walk WHERE node = 'supplier#1' ORDER BY d, way LIMIT 1)
+SELECT unnest(range(0, len(names))) AS place, unnest(names) AS name FROM best""", "places_v", recursive=True))
 def shortest_path(spark, sf_dir):
     path = graph.find_path(views.place_edges(spark, sf_dir), "Customer#1", "Supplier#1")
-    return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place int, name string")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place long, name string")
 
 
 def _ppr_sql(view: str) -> str:
@@ -347,7 +351,10 @@ def ppr_memories(spark, sf_dir):
     return found.select("content_hash", F.round("score", 9).alias("score"))
 
 
-@query()
+#: One edge from the customer, then those of its nation in order, the customer's other name having none.
+@query(with_views("""WITH own AS (SELECT 0 AS level, id, source, target, rel_type FROM places_v WHERE lower(source) = 'customer#10' OR lower(target) = 'customer#10'),
+near AS (SELECT 1 AS level, p.id, p.source, p.target, p.rel_type FROM places_v p JOIN own o ON lower(p.source) = lower(o.target) OR lower(p.target) = lower(o.target) ORDER BY p.id LIMIT 50)
+SELECT source, target, rel_type AS type FROM (SELECT * FROM own UNION ALL SELECT * FROM near WHERE id NOT IN (SELECT id FROM own)) ORDER BY level, id LIMIT 10""", "places_v"))
 def recall_entity(spark, sf_dir):
     found = search.recall_entity(_tables(spark, sf_dir), "Customer#10")
     return spark.createDataFrame([(r["source"], r["target"], r["type"]) for r in found["relationships"]], "source string, target string, type string")
