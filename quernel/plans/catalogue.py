@@ -316,10 +316,10 @@ def shortest_path_len(spark, sf_dir):
 @query(with_views("""WITH adj AS (SELECT lower(source) AS node, lower(target) AS other, target AS spelling, id FROM places_v UNION ALL SELECT lower(target), lower(source), source, id FROM places_v),
 walk AS (SELECT 'customer#1' AS node, ['Customer#1'] AS names, ['customer#1'] AS seen, '' AS way, 0 AS d
   UNION ALL SELECT other, list_append(names, spelling), list_append(seen, other), way || chr(1) || id, d + 1 FROM walk JOIN adj USING (node) WHERE d < 4 AND NOT list_contains(seen, other)),
-best AS (SELECT names FROM walk WHERE node = 'supplier#1' ORDER BY d, way LIMIT 1)
+best AS (SELECT names FROM walk WHERE node = 'customer#11' ORDER BY d, way LIMIT 1)
 SELECT unnest(range(0, len(names))) AS place, unnest(names) AS name FROM best""", "places_v", recursive=True))
 def shortest_path(spark, sf_dir):
-    path = graph.find_path(views.place_edges(spark, sf_dir), "Customer#1", "Supplier#1")
+    path = graph.find_path(views.place_edges(spark, sf_dir), "Customer#1", "Customer#11")
     return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place long, name string")
 
 
