@@ -12,8 +12,13 @@ Two probing schemes:
   no link is missed.
 * ``wide_links``: three segments and larger distances. Bits that flip between similar texts are
   those whose vote was close, so the ball holds up to ``flips`` of the ``weak`` closest votes of
-  each segment. Matches whose MinHash sketches lie too far apart go; the rest is verified on the
-  whole texts by word-shingle Jaccard similarity.
+  each segment. A large entry is held against two leaders only, so this is a first pass: it gathers
+  large groups in work that grows with the rows.
+
+``near_duplicates`` adds a second pass without a cap. MinHash bands meet by the similarity of the
+shingle sets alone, whatever the edit looks like, and each two rows of a band entry that are not yet
+in one component are compared. Matches whose MinHash sketches lie too far apart go; the rest is
+verified on the whole texts by word-shingle Jaccard similarity.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows that share a
 fingerprint are one node of the link graph, so a group of any number of copies is one row there.
@@ -68,51 +73,76 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
 
 
 SKETCH = ("s0", "s1", "s2", "s3")  #: columns of 64 bits
-_TURNS = (np.arange(1, 64 * len(SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
+#: Drawn at random: the least values under multiples of one constant would depend on each other.
+_TURNS = np.random.default_rng(42).integers(0, 1 << 63, 64 * len(SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bands and least hashes in each: texts of similarity 0.8 share no band with probability
+#: (1 - 0.8 ** 6) ** 40 = 5e-6, those of similarity 0.3 share one with probability 0.03.
+BANDS, BAND_ROWS = 40, 6
 
-def sketch_of(text: str | None, k: int) -> bytes:
-    """Some bits, each from the least of the shingle hashes in an order of its own (one-bit MinHash).
 
-    Two texts of similarity s agree in a bit with probability (1 + s) / 2.
-    """
+def least_of(text: str | None, k: int) -> np.ndarray:
+    """The least of the shingle hashes in each of some orders (MinHash)."""
     h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text), k))], dtype=np.uint64)
     low = np.full(len(_TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 2048):
         low = np.minimum(low, ((h[at : at + 2048, None] ^ (h[at : at + 2048, None] >> np.uint64(29))) * _TURNS).min(axis=0))
+    return low
+
+
+def sketch_bits(low: np.ndarray) -> bytes:
     return np.packbits(np.bitwise_count(low) & 1, bitorder="little").tobytes()
 
 
+def sketch_of(text: str | None, k: int) -> bytes:
+    """Some bits, each from the least of the shingle hashes in an order of its own (one-bit MinHash).
+
+    Two texts of similarity s agree in a bit with probability (1 + s) / 2.
+    """
+    return sketch_bits(least_of(text, k))
+
+
+def bands_of(low: np.ndarray) -> np.ndarray:
+    """One hash a band; two texts of similarity s agree in it with probability s ** BAND_ROWS."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def sketch_limit(similarity: float) -> int:
-    """Bits of two sketches that may differ: the mean at this similarity and 3.3 standard deviations."""
+    """Bits of two sketches that may differ: the mean at this similarity and 6 standard deviations."""
     p, n = (1 - similarity) / 2, len(_TURNS)
-    return math.ceil(n * p + 3.3 * math.sqrt(n * p * (1 - p)))
+    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, weak: int = 0, sketch: int = 5) -> DataFrame:
     """``(doc_id, fp long)``; with ``weak`` also ``close``, the places of the closest votes of each wide
-    segment, ``s0`` to ``s3``, a sketch of the set of ``sketch``-word shingles, and ``same``, a digest
-    that equal texts share."""
+    segment, ``s0`` to ``s3``, a sketch of the set of ``sketch``-word shingles, ``same``, a digest
+    that equal texts share, and ``bands``, the hashes of the set's MinHash bands."""
 
     def run(batches):
         for batch in batches:
-            fps, close, same, sketches = [], [], [], []
+            fps, close, same, sketches, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 votes, n = votes_of(text, shingle)
                 fps.append(np.packbits(votes * 2 > n, bitorder="little").tobytes())
                 if weak:
                     margin = np.abs(votes * 2 - n)
                     close.append(bytes(lo + int(i) for lo, width in WIDE_SEGMENTS for i in np.argsort(margin[lo : lo + width], kind="stable")[:weak]))
-                    sketches.append(sketch_of(text, sketch))
+                    low = least_of(text, sketch)
+                    sketches.append(sketch_bits(low))
+                    bands.append(bands_of(low))
                     same.append(hashlib.md5((text or "").encode()).digest())
             out = [batch.column(0), pa.array(np.frombuffer(b"".join(fps), dtype="<i8"))]
             if weak:
                 halves = np.frombuffer(b"".join(sketches), dtype="<i8").reshape(-1, len(SKETCH))
                 out += [pa.array(close, pa.binary()), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in range(len(SKETCH))), pa.array(same, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", *SKETCH, "same"][: len(out)])
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*bands, np.zeros(0, dtype=np.int64)]))))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", *SKETCH, "same", "bands"][: len(out)])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long" + f", close binary, {' long, '.join(SKETCH)} long, same binary" * bool(weak))
+    return picked.mapInArrow(run, "doc_id long, fp long" + f", close binary, {' long, '.join(SKETCH)} long, same binary, bands array<long>" * bool(weak))
 
 
 def _key(seg: int, low: int, width: int, fp):
@@ -150,6 +180,14 @@ def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _differ(c: str) -> Column:
+    return F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}")))
+
+
+def _sketches_near(apart: int) -> Column:
+    return reduce(Column.__add__, map(_differ, SKETCH)) <= apart
+
+
 def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int) -> DataFrame:
     """Candidate pairs ``(src, dst)`` within ``radius`` bits, at most two for each probe.
 
@@ -157,8 +195,7 @@ def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int
     are led by two of them, and each probe is held against these only: the first one in an order of
     all ids, so that a large group gathers around the same few leaders, and the first one in an
     order of the entry's own, which differs from entry to entry. So the work stays in proportion to
-    the rows however many texts are alike, and as one fingerprint has over a hundred entries, a
-    link that one entry misses shows up in another.
+    the rows however many texts are alike. A pair of which neither leads a common entry is missed.
     """
     masks = [c for f in range(flips + 1) for c in combinations(range(weak), f)]
 
@@ -184,12 +221,41 @@ def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int
     led = table.groupBy("key").agg(first("t_id").alias("l0"), first("key", "t_id").alias("l1"))
     led = led.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in rows]) for x in ("l0", "l1")]))).alias("l")).select("key", "l.*")
     probes = prints.select("id", "fp", "close", *SKETCH).mapInArrow(probe, f"id long, fp long, {' long, '.join(SKETCH)} long, key long")
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}")))
-    near = (differ("fp") <= radius) & (reduce(Column.__add__, map(differ, SKETCH)) <= apart) & (F.col("id") != F.col("t_id"))
+    near = (_differ("fp") <= radius) & _sketches_near(apart) & (F.col("id") != F.col("t_id"))
     found = probes.join(led, (probes.key == led.key) & near)
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
 
+def band_rows(prints: DataFrame) -> DataFrame:
+    """``(key, id, s0, ..)``: the band entries with more than one row."""
+    entries = prints.select("id", F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    return entries.join(shared, "key").join(prints.select("id", *SKETCH), "id").select("key", "id", *SKETCH)
+
+
+def band_leaders(rows: DataFrame, apart: int) -> DataFrame:
+    """Pairs ``(src, dst)`` of each band row and the first one of its entry."""
+    led = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("rank"), *[F.col(c).alias(f"t_{c}") for c in ("id", *SKETCH)])).alias("l")).select(F.col("key").alias("t_key"), "l.*")
+    found = rows.join(led, (F.col("key") == F.col("t_key")) & (F.col("id") != F.col("t_id")) & _sketches_near(apart))
+    return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
+
+
+def band_rest(rows: DataFrame, comps: DataFrame, apart: int) -> DataFrame:
+    """All pairs ``(src, dst)`` that share a band entry and lie in different components ``comps(node, component)``.
+
+    Rows of an entry's largest component needn't probe: each pair that crosses components has an end
+    outside it. Entries within one component, as those of large groups mostly are, have no pair.
+    """
+    placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
+    live = stage(placed.join(mixed, "key"), "mixed")
+    table = live.select(F.col("key").alias("t_key"), F.col("component").alias("t_component"), F.col("main").alias("t_main"), *[F.col(c).alias(f"t_{c}") for c in ("id", *SKETCH)])
+    once = (F.col("t_component") == F.col("t_main")) | (F.col("id") < F.col("t_id"))
+    found = live.where("component <> main").join(table, (F.col("key") == F.col("t_key")) & (F.col("component") != F.col("t_component")) & once & _sketches_near(apart))
+    return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
+
+
 def shingle_jaccard(a: str | None, b: str | None, k: int) -> float:
     """Similarity of the sets of ``k``-word shingles; two texts without words are alike."""
     x, y = set(shingles_of(words_of(a), k)), set(shingles_of(words_of(b), k))
@@ -214,18 +280,24 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, fp_shingle: int = 3, weak: int = 6, flips: int = 3, radius: int = 15) -> DataFrame:
     """One row per document: ``(doc_id, component_id)`` of texts with shingle similarity >= ``similarity``.
 
-    Equal texts are one row of the search. Candidates come from SimHash over ``fp_shingle`` words
-    (short shingles move fewer bits for the same edit), the decision from ``shingle`` words. Rows
-    without an id are members of groups of equal texts only.
+    Equal texts are one row of the search. Large groups are gathered around leaders, of SimHash
+    entries over ``fp_shingle`` words (short shingles move fewer bits for the same edit) and of
+    MinHash bands; then all pairs of a band entry that are still apart are compared. The decision
+    comes from ``shingle`` words. Rows without an id are members of groups of equal texts only.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak, sketch=shingle), "prints")
-    columns = ("fp", "close", *SKETCH)
+    columns = ("fp", "close", *SKETCH, "bands")
     reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", *columns), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in columns]), "reps")
-    pairs = stage(wide_links(reps.where("id IS NOT NULL"), weak, flips, radius, sketch_limit(similarity)), "pairs")
-    links = verified(pairs, picked.withColumnRenamed("doc_id", "id"), shingle, similarity)
-    comps = connected_components(links)
+    known, texts, apart = reps.where("id IS NOT NULL"), picked.withColumnRenamed("doc_id", "id"), sketch_limit(similarity)
+    rows = stage(band_rows(known), "bands")
+    pairs = stage(wide_links(known, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), "pairs")
+    first = connected_components(verified(pairs, texts, shingle, similarity))
+    rest = stage(band_rest(rows, first, apart), "pairs")
+    links = verified(rest, texts, shingle, similarity)
+    comps = connected_components(first.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links))
     classes = stage(reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id")), "classes")
     out = prints.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
-    drop_staged(pairs)
+    for done in (rows, pairs, rest):
+        drop_staged(done)
     return out

@@ -110,6 +110,17 @@ def test_near_duplicates_find_similar_texts(spark):
     assert got[999] == 999
 
 
+def test_a_pair_that_leads_no_entry_is_found(spark):
+    """A repeated phrase rules the fingerprints, so that all rows share all entries."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        base = [f"{rnd.randrange(4000)}x" for _ in range(100)]
+        rows += [(2 * i, " ".join(["of", "the", "same"] * 800 + base)), (2 * i + 1, " ".join(["of", "the", "same"] * 800 + base[:-3]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_sketches_estimate_similarity():
     rnd = random.Random(2)
     base = [f"{rnd.randrange(4000)}x" for _ in range(400)]
