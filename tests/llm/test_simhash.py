@@ -121,6 +121,31 @@ def test_a_pair_that_leads_no_entry_is_found(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def edited(rnd, n, shape):
+    """A text of n words and a version of it with a similarity just over 0.8."""
+    base = [f"{rnd.randrange(10**6)}x" for _ in range(n)]
+    other = list(base)
+    while True:
+        last = list(other)
+        if shape == "append":
+            other.append(f"{rnd.randrange(10**6)}y")
+        elif shape == "cut":
+            other.pop()
+        elif shape == "middle":
+            other.insert(n // 2, f"{rnd.randrange(10**6)}y")
+        else:
+            other[rnd.randrange(n)] = f"{rnd.randrange(10**6)}y"
+        if simhash.shingle_jaccard(" ".join(base), " ".join(other), 5) < 0.8:
+            return " ".join(base), " ".join(last)
+
+
+def test_every_edit_shape_at_the_threshold_is_found(spark):
+    rnd = random.Random(8)
+    texts = [t for shape in ("append", "cut", "middle", "words") for _ in range(60) for t in edited(rnd, rnd.randint(30, 150), shape)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_sketches_estimate_similarity():
     rnd = random.Random(2)
     base = [f"{rnd.randrange(4000)}x" for _ in range(400)]
