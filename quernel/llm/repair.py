@@ -3,7 +3,7 @@
 Documents are put into ascending order of their ids by a range partitioning, each partition encodes
 its texts and cuts them into blocks of about ``block_tokens`` ids, and each block gets a grammar of
 its own: frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), again
-and again, until no pair is frequent or ``rounds`` is reached. A round replaces many pairs at once;
+and again, until no pair occurs four times any more. A round replaces many pairs at once;
 where occurrences overlap, the commoner pair wins. No pair spans two documents.
 
 Layout of a block, all numbers little-endian and each array compressed on its own:
@@ -16,8 +16,13 @@ Layout of a block, all numbers little-endian and each array compressed on its ow
     symbols      u32: the sequence
 
 ``token_ends`` and ``lengths`` lead to any token of any document without expanding the rest.
-Blocks are rows of a Parquet table (shard, block, counts, payload), so they can lie in any store
-that Spark reaches, and a lost task writes its file again.
+A block is a file of this format; blocks are kept as the binary column of a Parquet table (shard,
+block, counts, payload) rather than as files by themselves, so they can lie in any store that Spark
+writes to, and a lost task writes its part again. ``Block(payload)`` reads one, wherever it is from.
+
+Nulls count as empty texts. Strings of a tokenizer's special tokens in a text become those tokens,
+as the library does by default. Rows that repeat an id are ordered by a hash of their texts; rows
+that are equal in both are dealt out by their place in the input, so no id meets in one task.
 """
 
 from __future__ import annotations
@@ -43,54 +48,68 @@ END = 0  #: the id that ends each document
 # --- grammar ------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None, per_round: int = 4096, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``ids`` of documents that end at ``ends`` -> (symbols, where documents end in them, rules).
 
-    A pair must occur ``least`` times in a round, and at least twice after overlaps are resolved.
-    With up to 60,000 terminals symbols stay below 2^16, so that a pair is one 32-bit number; other
-    grammars take 32-bit symbols and 64-bit pairs.
+    Rounds go on until no pair occurs ``least`` times, unless ``rounds`` stops them before. A round
+    takes the ``per_round`` commonest pairs; the others have their turn in a later one. The commonest
+    pair of all always gets its places, so each round makes a rule and the loop ends.
+    Symbols below 2^16 make pairs of 32 bits; once there are more, both are twice as wide.
+    After a round that took all frequent pairs, only places next to a new symbol, or whose pair lost
+    its place to another one, can hold a frequent pair; the next round looks at these alone.
     """
-    small = terminals <= 60_000
-    symbol, pair, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
-    spin, down = (pair(0x9E3779B1), pair(32 - 18)) if small else (pair(0x9E3779B97F4A7C15), pair(64 - 18))
-    slot = lambda k: ((k * spin) >> down).astype(np.intp)
-    no_pair = pair((1 << 2 * half) - 1)  # the last symbol is never made, so no pair looks like this
-    x = np.ascontiguousarray(ids, dtype=symbol)
+    x = np.ascontiguousarray(ids, dtype=np.uint32)
     filled = np.diff(ends, prepend=0) > 0
     stops = np.asarray(ends, dtype=np.int64)[filled]  # where documents end by now
     rules: list[np.ndarray] = []
-    made = terminals
-    for _ in range(rounds):
-        room = min(per_round, 32_000, (1 << half) - 1 - made)
-        if len(x) < 2 or room < 1:
-            break
+    live: np.ndarray | None = None  # the places to look at; None: all
+    made, done = terminals, 0
+    per_round = min(per_round, 32_000)  # ranks are 16-bit numbers
+    while len(x) > 1 and (rounds is None or done < rounds):
+        symbol, pair, half = (np.uint16, np.uint32, 16) if made + per_round < 1 << 16 else (np.uint32, np.uint64, 32)
+        spin, down = (pair(0x9E3779B1), pair(32 - 18)) if half == 16 else (pair(0x9E3779B97F4A7C15), pair(64 - 18))
+        slot = lambda k, spin=spin, down=down: ((k * spin) >> down).astype(np.intp)
+        no_pair = pair((1 << 2 * half) - 1)  # the last symbol is never made, so no pair looks like this
+        x = x.astype(symbol, copy=False)
         key = x[:-1].astype(pair)
         key <<= pair(half)
         key |= x[1:]
         key[stops[:-1] - 1] = no_pair
-        ordered = np.sort(key)
+        places = None if live is None else np.flatnonzero(live)
+        if places is not None and not len(places):
+            break
+        ordered = np.sort(key if places is None else key[places])
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(starts, append=len(ordered))
         often = np.flatnonzero((counts >= least) & (ordered[starts] != no_pair))
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:room]]
+        whole = len(often) <= per_round
+        often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
         pairs, none = ordered[starts[often]], len(often)  # the commonest first
         # One slot per hash holds a pair; of pairs that share a slot the commoner one has its turn now.
         holder = np.full(1 << 18, none, dtype=np.int16)
         holder[slot(pairs[::-1])] = np.arange(none, dtype=np.int16)[::-1]
-        held = np.take(holder, slot(key), mode="clip")
-        right = np.take(np.append(pairs, no_pair), held, mode="clip") == key
+        whole &= bool((holder[slot(pairs)] == np.arange(none)).all())
+        looked = key if places is None else key[places]
+        held = np.take(holder, slot(looked), mode="clip")
+        right = np.take(np.append(pairs, no_pair), held, mode="clip") == looked
         # Rank of the pair at each place, between two zeros; 0 where there is none to replace.
         value = np.zeros(len(key) + 2, dtype=np.int16)
-        value[1:-1] = (np.int16(none) - held) * right
-        at = np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:]))
-        found = held[at]
+        value[1:-1] = (np.int16(none) - held) * right if places is None else 0
+        if places is not None:
+            value[places + 1] = (np.int16(none) - held) * right
+        peak = (value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:])
+        again = np.flatnonzero((value[1:-1] == value[:-2]) & (value[1:-1] > 0))  # a symbol three times or more
+        if len(again):
+            fresh = np.diff(again, prepend=-2) != 1
+            first = (again[fresh] - 1)[np.cumsum(fresh) - 1]  # where the run of equal pairs begins
+            peak[again] = peak[first] & ((again - first) % 2 == 0) & (value[1:-1][again] >= value[2:][again])
+        at = np.flatnonzero(peak)
+        found = none - value[at + 1]
         used = np.bincount(found, minlength=none)
         good = used[found] >= 2
         at, found = at[good], found[good]
-        if not len(at):
-            break
         number = np.cumsum(used >= 2) - 1
         chosen = pairs[used >= 2]
         rules.append(np.stack([chosen >> pair(half), chosen & pair((1 << half) - 1)], axis=1).astype("<u4"))
@@ -99,8 +118,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4,
         stay = np.ones(len(x), dtype=bool)
         stay[at + 1] = False
         x = x[stay]
+        if whole:
+            new = x >= symbol(made)
+            live = new[:-1] | new[1:] | (value[1:] > 0)[stay][:-1]
+        else:
+            live = None
         stops = stops - np.searchsorted(at, stops)  # a pair that begins before an end lies before it
         made += len(chosen)
+        done += 1
     symbol_ends = np.zeros(len(ends), dtype=np.int64)
     symbol_ends[filled] = stops
     return x, np.maximum.accumulate(symbol_ends) if len(symbol_ends) else symbol_ends, np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u4")
@@ -161,7 +186,7 @@ def _array(values: np.ndarray, dtype: str) -> bytes:
     return struct.pack("<I", len(body)) + body
 
 
-def write_block(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4) -> bytes:
+def write_block(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None) -> bytes:
     symbols, symbol_ends, rules = compress(ids, ends, terminals, rounds)
     head = MAGIC + struct.pack("<4I", terminals, len(rules), len(doc_ids), len(symbols))
     known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
@@ -232,7 +257,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts with one of these are encoded whole: they are found before a text is cut into words.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known, self.lengths, self.flat = keep, {}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
 
     @classmethod
@@ -275,6 +301,8 @@ class Encoder:
         if not n:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         together = pc.or_(pc.match_substring_regex(texts, _NOT_APART), pc.match_substring(texts, "\0"))
+        for token in self.special:
+            together = pc.or_(together, pc.match_substring(texts, token))
         whole = np.flatnonzero(together.to_numpy(zero_copy_only=False))
         cut = pc.if_else(together, "", texts) if len(whole) else texts
         for pattern, by in _CUTS:
@@ -314,10 +342,10 @@ SHARDS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 DOCS = "shard int, block int, place int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int = 4) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, rounds: int | None = None) -> DataFrame:
     """Encodes and stores all documents; the table of blocks, read from the stored files.
 
-    Order: ascending id, null first; equal ids by text. ``tokenizer_path`` is read by every worker.
+    Order: ascending id, null first; equal ids by a hash of the text. ``tokenizer_path`` is read by every worker.
     """
 
     def run(batches):
@@ -353,8 +381,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         if names:
             yield flush()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keys = ["doc_id", "hash", "row"]
+    ordered = picked.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return stage(ordered.mapInArrow(run, SHARDS), "token-shards")
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -40,7 +41,33 @@ def test_grammar_shrinks_what_repeats():
     assert all(len(repair.expand(np.array([1001 + i]), rules, 1001)) == n for i, n in enumerate(lengths))
 
 
-TEXTS = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \nb", "x \ty", "x   y", "x  y ", "tab\t z\t", "\n ", " \n", "it's 12 o'clock -- ok?", "ÄÖ ß é", "日本 語", "<|endoftext|> x", "é a   b", "w\x0b \x0bz", "w\x85 \x85z", "r\r \rz", "\x1c \x1d", "a.\nB, c!\n\nd", "x,\ry. \nz", "nul \0x y", "\0", "it's, he'll. o'", "e\u0301, x", "a.b c.. .d", "1, 2.\n3", "a,\u00a0b", "ab#%. \n"]
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=120), max_size=4), st.integers(1, 3))
+def test_no_frequent_pair_is_left(docs, per_round):
+    check_grammar(np.array([i for d in docs for i in d], dtype="<u4"), np.cumsum([len(d) for d in docs]).astype(np.int64), 3, per_round=per_round)
+
+
+def check_grammar(ids, ends, terminals, least=4, **options):
+    """No pair within a document occurs ``least`` times, and the ids come back."""
+    symbols, stops, rules = repair.compress(ids, ends, terminals, least=least, **options)
+    assert (repair.expand(symbols, rules, terminals) == ids).all()
+    x = symbols.astype(np.uint64)
+    inside = np.ones(max(0, len(x) - 1), dtype=bool)
+    inside[[s - 1 for s in stops if 0 < s < len(x)]] = False
+    _, counts = np.unique(((x[:-1] << np.uint64(32)) | x[1:])[inside], return_counts=True)
+    assert counts.max(initial=0) < least
+    return symbols, rules
+
+
+def test_grammar_of_real_texts_is_complete_past_2_to_the_16():
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    encoder = repair.Encoder.of(PATH)
+    ids, ends = encoder.encode(pa.array(texts * 2))
+    symbols, rules = check_grammar(ids, ends, encoder.vocabulary())
+    assert encoder.vocabulary() + len(rules) > 1 << 16 and len(symbols) < len(ids) / 2
+
+
+TEXTS = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \nb", "x \ty", "x   y", "x  y ", "tab\t z\t", "\n ", " \n", "it's 12 o'clock -- ok?", "ÄÖ ß é", "日本 語", "<|endoftext|> x", "<|endoftext|> hi", "a<|endoftext|>", "b <|endoftext|>.\n c", "<|endoftext|", "<|ENDOFTEXT|> y", "é a   b", "w\x0b \x0bz", "w\x85 \x85z", "r\r \rz", "\x1c \x1d", "a.\nB, c!\n\nd", "x,\ry. \nz", "nul \0x y", "\0", "it's, he'll. o'", "e\u0301, x", "a.b c.. .d", "1, 2.\n3", "a,\u00a0b", "ab#%. \n"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -51,7 +78,6 @@ def test_encoder_equals_the_library(texts):
 
 def check_encoder(texts):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     ids, ends = repair.Encoder.of(PATH).encode(pa.array(texts, pa.string()))
     at = 0
     for text, end in zip(texts, ends, strict=True):
@@ -76,7 +102,8 @@ def test_documents(spark, block_tokens):
     got = repair.token_ids(docs, PATH, block_tokens=block_tokens).collect()
     plain = Tokenizer.from_file(PATH)
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    place = {(r.doc_id, r.text): r.hash for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS hash").collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r])):
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
