@@ -31,12 +31,14 @@ def by_hand(texts, order, alpha=0.4):
 
 
 @pytest.mark.parametrize(("order", "chunk_words"), [(1, 10**6), (2, 10**6), (2, 40), (3, 100), (4, 1)])
-def test_equals_brute_force(spark, order, chunk_words):
+def test_equals_brute_force(spark, tmp_path, order, chunk_words):
     rnd = random.Random(order)
     texts = [None, "", "  ", "alone", "The the THE", *(" ".join(rnd.choice("abcdefghij") * rnd.randint(1, 2) for _ in range(rnd.randint(1, 60))) for _ in range(60))]
     texts += texts[-5:] * 3 + ["z " * 3000]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, slot string, chunk int").repartition(3)
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.backoff_scores(docs, order=order, chunk_words=chunk_words).collect()}
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, slot string, chunk int").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.backoff_scores(docs, order=order, chunk_words=chunk_words, bucket_bytes=100).collect()}
     for i, (n, score) in enumerate(by_hand(texts, order)):
         assert got[i][0] == n and got[i][1] == pytest.approx(score, abs=1e-6), texts[i]
 
@@ -47,6 +49,14 @@ def test_empty_table_null_ids_and_repeats(spark):
     assert sorted((r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in got) == [(0, 2, round(math.log(2 / 4), 6)), (1, 2, round(math.log(2 / 4), 6)), (1, 2, round(math.log(2 / 4), 6))]
 
 
+def test_rows_that_change_their_order_are_noticed():
+    import pyarrow as pa
+
+    table = pa.table({"mark": [1, 2], "kind": [0, 1], "part": [0, 0], "a": [b"", b""], "b": [b"", b""]})
+    with pytest.raises(RuntimeError, match="order"):
+        lm_score.score_chunk(table, 3, 0.4)
+
+
 def test_packing_round_trip():
     import numpy as np
 
