@@ -7,10 +7,14 @@ view labels the unlabelled rows it is surest about for the other one, which is f
 views are then calibrated on labelled rows that took no part in the fitting (Platt scaling), and
 the calibrated log odds are combined by a third logistic model.
 
-Fitting takes at most ``max_rows`` labelled and ``max_pool`` unlabelled rows (those with the
-smallest hash of their id); of each only some 70 numbers reach the driver. Scoring takes every
-document whole. Null and empty texts have all text features zero and get the score that follows.
-Rows whose crc32 of the id is divisible by 5 are held out and never used in fitting.
+Fitting takes at most ``max_rows`` labelled rows (those with the smallest hash of their id), whose
+features, some 50 numbers each, reach the driver, and every unlabelled row there is: those stay in a
+table of features, over which tasks add up histograms of confidence and the sums of Newton steps, so
+the driver sees two matrices a step. The sums are whole numbers (of 2^-20), so that no order of tasks
+changes a model. Scoring takes every document whole. Null and empty texts have all text features zero
+and get the score that follows. Rows whose crc32 of the id is divisible by 5 are held out and never
+used in fitting; unlabelled rows without an id are used, and rows that repeat count as often as they
+are there. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quernel.llm.logistic import Logistic, fit, sigmoid
+from quernel.llm.logistic import Logistic, fit, newton_step, newton_sums, sigmoid
 from quernel.llm.toxicity import held_out, labelled_sample
 from quernel.workspace import drop_staged, stage
 
@@ -95,30 +99,75 @@ class CoTrained:
         return sigmoid(odds[:, 0]), sigmoid(odds[:, 1]), self.joint.probability(odds)
 
 
-def co_train(xa, xb, y, ua, ub, calibrate: np.ndarray, rounds: int = 5, grow: float = 0.05, sure: float = 0.95) -> CoTrained:
-    """Views ``xa``, ``xb`` of labelled rows (labels ``y``), ``ua``, ``ub`` of unlabelled ones.
+BINS, FINEST = 2000, 20.0  #: margins from that of ``sure`` to this are told apart by so many bins
+STEPS = 3  #: Newton steps after each exchange
 
-    ``calibrate``: rows of the labelled ones that are kept from fitting. Per round each view hands
-    over at most ``grow`` of the pool for each class, and only rows with a probability over
-    ``sure``; every row is handed over once per view. Pseudo-labels weigh half.
+
+def array_sums(ua: np.ndarray, ub: np.ndarray):
+    """Sums over a pool that is at hand; see ``co_train``."""
+    return lambda f, width: f(ua, ub) if len(ua) else np.zeros(width)
+
+
+def _lent(models_by_round: list, xa: np.ndarray, xb: np.ndarray) -> list[np.ndarray]:
+    """The pseudo-labels (-1: none) that rows were lent for view 0 and 1, in the first round that chose them."""
+    out = [np.full(len(xa), -1), np.full(len(xb), -1)]
+    for givers, cuts in models_by_round:
+        for giver, x in enumerate((xa, xb)):
+            m, taken = givers[giver].margin(x), out[1 - giver]
+            free = taken < 0
+            taken[free & (m >= cuts[giver][0])] = 1
+            taken[free & (m <= -cuts[giver][1])] = 0
+    return out
+
+
+def co_train(xa, xb, y, pool_sums, calibrate: np.ndarray, rounds: int = 5, grow: float = 0.05, sure: float = 0.95) -> CoTrained:
+    """Views ``xa``, ``xb`` of labelled rows with labels ``y``; ``pool_sums`` adds up over the unlabelled ones.
+
+    ``pool_sums(f, width)`` is the sum of ``f(ua, ub)``, a vector of that width, over all parts of the
+    pool. ``calibrate``: rows of the labelled ones that are kept from fitting. Per round each view
+    hands over the rows it is surest about, about ``grow`` of the pool for each class (to the next
+    bin of its margin), and only rows with a probability over ``sure``; every row is handed over once
+    per view. Pseudo-labels weigh half.
     """
     own = ~calibrate
-    lent = [np.full(len(ua), -1), np.full(len(ub), -1)]  # pseudo-labels for view 0 and 1
-    models = [fit(xa[own], y[own]), fit(xb[own], y[own])]
-    for _ in range(rounds):
-        before = [v.copy() for v in lent]
-        for giver, u in ((0, ua), (1, ub)):
-            taker = 1 - giver
-            p = models[giver].probability(u)
-            for label, confidence in ((1, p), (0, 1 - p)):
-                free = np.flatnonzero((lent[taker] < 0) & (confidence >= sure))
-                best = free[np.argsort(-confidence[free], kind="stable")[: max(1, int(grow * len(u)))]]
-                lent[taker][best] = label
-        if all((a == b).all() for a, b in zip(before, lent, strict=True)):
+    views = (xa[own], xb[own])
+    models = [fit(v, y[own]) for v in views]
+    low = float(np.log(sure / (1 - sure)))
+    edges = low + (FINEST - low) * np.arange(BINS) / BINS
+    history: list = []
+    n_pool = int(pool_sums(lambda a, b: np.array([len(a)], dtype=float), 1)[0])
+    for _ in range(rounds if n_pool else 0):
+        now, was = tuple(models), list(history)
+
+        def histograms(a, b, now=now, was=was):
+            lent, out = _lent(was, a, b), []
+            for giver, x in enumerate((a, b)):
+                m = now[giver].margin(x)[lent[1 - giver] < 0]
+                for side in (m, -m):
+                    at = np.floor((side[side >= low] - low) / (FINEST - low) * BINS)
+                    out.append(np.bincount(np.minimum(at, BINS - 1).astype(int), minlength=BINS))
+            return np.concatenate(out).astype(float)
+
+        counts = pool_sums(histograms, 4 * BINS).reshape(2, 2, BINS)
+        if not counts.any():
             break
-        for v, (x, u) in enumerate(((xa, ua), (xb, ub))):
-            got = lent[v] >= 0
-            models[v] = fit(np.vstack([x[own], u[got]]), np.append(y[own], lent[v][got]), weight=np.append(np.ones(own.sum()), np.full(got.sum(), 0.5)))
+        cuts = []
+        for giver in (0, 1):
+            above = np.cumsum(counts[giver][:, ::-1], axis=1)[:, ::-1]
+            # The lowest bin with at most that many rows from it on; the highest one that has any, at least.
+            first = [max(0, min(int(np.argmax(a <= max(1, grow * n_pool))) if (a <= max(1, grow * n_pool)).any() else BINS, int(np.flatnonzero(c).max(initial=-1)) if c.any() else BINS)) for a, c in zip(above, counts[giver], strict=True)]
+            cuts.append(tuple(float(edges[i]) if i < BINS else np.inf for i in first))
+        history.append((now, tuple(cuts)))
+        for _ in range(STEPS):
+            now, was = tuple(models), list(history)
+
+            def parts(a, b, now=now, was=was):
+                lent = _lent(was, a, b)
+                return np.concatenate([newton_sums(m, x[t >= 0], t[t >= 0].astype(float), 0.5) for m, x, t in zip(now, (a, b), lent, strict=True)])
+
+            sizes = [(v.shape[1] + 1) * (v.shape[1] + 2) for v in views]
+            total = pool_sums(parts, sum(sizes))
+            models = [newton_step(m, newton_sums(m, v, y[own], 1.0) + t) for m, v, t in zip(models, views, np.split(total, [sizes[0]]), strict=True)]
     rest = calibrate if calibrate.any() else own
     margins = [models[0].margin(xa[rest])[:, None], models[1].margin(xb[rest])[:, None]]
     calibration = tuple(fit(m, y[rest], prior=np.ones(1) * max(1e-6, m.std() if len(m) else 1.0)) for m in margins)
@@ -152,18 +201,54 @@ def _collect(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.y for r in rows], dtype=float), x[:, : len(TEXT_FEATURES)], x[:, len(TEXT_FEATURES) :]
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_pool: int = 20_000) -> CoTrained:
+SCALE = float(1 << 20)
+
+
+def _spark_sums(pool: DataFrame):
+    """Sums over a table of features ``x``, exact in multiples of 1 / SCALE."""
+
+    def sums(f, width: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(width)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().astype(float).reshape(-1, len(TEXT_FEATURES) + len(PAGE_FEATURES))
+                total += f(x[:, : len(TEXT_FEATURES)], x[:, len(TEXT_FEATURES) :])
+            fixed = np.round(total * SCALE).astype(np.int64)
+            at = np.flatnonzero(fixed)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(fixed[at])], ["at", "v"])
+
+        out = np.zeros(width)
+        for r in pool.select("x").mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+            out[r.at] = float(r.v) / SCALE
+        return out
+
+    return sums
+
+
+def _features(picked: DataFrame) -> DataFrame:
+    """``(doc_id, x)``: the features of both views, one after the other."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = _views(batch)
+            flat = np.hstack([a, b]).astype(np.float32)
+            offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1)))], ["doc_id", "x"])
+
+    return picked.mapInArrow(run, "doc_id long, x array<float>")
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> CoTrained:
     picked = _picked(docs)
     sample = labelled_sample(picked, labels, "quality", max_rows, columns=COLUMNS)
     ids, y, xa, xb = _collect(sample)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
-    pool_ids = picked.select("doc_id").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct().join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    pool = stage(picked.join(F.broadcast(pool_ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("y", F.lit(0)), "pool")
-    _, _, ua, ub = _collect(pool)
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    pool = stage(_features(picked.where(~held_out(F.col("doc_id")))).join(known, "doc_id", "left_anti").select("x"), "pool")
+    calibrate = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], dtype=bool)
+    model = co_train(xa, xb, y, _spark_sums(pool), calibrate)
     drop_staged(sample)
     drop_staged(pool)
-    calibrate = np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], dtype=bool)
-    return co_train(xa, xb, y, ua, ub, calibrate)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -178,7 +263,17 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in ("p_text", "p_page", "quality_score"))]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_pool: int = 20_000) -> DataFrame:
+def without_poor(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score under ``least``; all columns, whatever their names."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.probabilities(*_views(batch))[2] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """``(doc_id, held_out, p_text, p_page, score, keep)``, one row per row of ``docs``."""
-    found = score(_picked(docs), fit_model(docs, labels, max_rows, max_pool))
+    found = score(_picked(docs), fit_model(docs, labels, max_rows))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p_text", "p_page", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("keep"))

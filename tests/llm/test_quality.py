@@ -25,16 +25,27 @@ def test_pseudo_labels_help_the_weaker_view():
     y, xa, xb = make(16)
     _, ua, ub = make(3000)
     t, ta, tb = make(4000)
-    model = q.co_train(xa, xb, y, ua, ub, np.zeros(16, dtype=bool))
+    model = q.co_train(xa, xb, y, q.array_sums(ua, ub), np.zeros(16, dtype=bool))
     alone = fit(xb, y)
     right = lambda p: ((p >= 0.5) == t).mean()
     assert right(model.page.probability(tb)) > right(alone.probability(tb))
     assert right(model.probabilities(ta, tb)[2]) > 0.97
 
 
+def test_pools_in_parts_and_in_one_give_one_model():
+    rnd = np.random.default_rng(3)
+    y = rnd.integers(0, 2, 40).astype(float)
+    xa, xb, ua, ub = ((2 * y - 1)[:, None] + rnd.normal(size=(40, d)) for d in (2, 3, 2, 3))
+    ua, ub = np.tile(ua, (50, 1)) + rnd.normal(size=(2000, 2)) / 9, np.tile(ub, (50, 1))
+    whole = q.co_train(xa, xb, y, q.array_sums(ua, ub), np.zeros(40, dtype=bool))
+    parts = lambda f, width: sum((f(ua[i : i + 300], ub[i : i + 300]) for i in range(0, 2000, 300)), np.zeros(width))
+    split = q.co_train(xa, xb, y, parts, np.zeros(40, dtype=bool))
+    assert np.allclose(whole.probabilities(xa, xb), split.probabilities(xa, xb))
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_hardly_any_labels(n):
-    model = q.co_train(np.zeros((n, 2)), np.ones((n, 3)), np.ones(n), np.zeros((4, 2)), np.zeros((4, 3)), np.zeros(n, dtype=bool))
+    model = q.co_train(np.zeros((n, 2)), np.ones((n, 3)), np.ones(n), q.array_sums(np.zeros((4, 2)), np.zeros((4, 3))), np.zeros(n, dtype=bool))
     assert all(np.isfinite(p).all() for p in model.probabilities(np.zeros((3, 2)), np.ones((3, 3))))
 
 
