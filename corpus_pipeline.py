@@ -4,14 +4,14 @@ Every stage is a function of (spark, docs, sf_dir) and works on all rows of ``do
 decides takes effect. All but the last return the columns they were given. Each result is written
 as Parquet and read again before the next stage, so a lost executor costs a part of one stage.
 
-Null texts count as empty. Rows that repeat an id stay or go together, unless their texts differ.
-Empty tables pass through every stage.
+Null texts count as empty. Rows that repeat an id are judged each by its own text; of rows that repeat
+id and text, the near-duplicate stage keeps one. Extra columns, whatever their names, are carried
+along. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quernel.llm import decontam, packing, quality, simhash, toxicity
 from quernel.workspace import read_table, stage
@@ -19,21 +19,17 @@ from quernel.workspace import read_table, stage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score is 0.5 or more."""
-    model = toxicity.fit_model(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="__toxicity").where("__toxicity < 0.5").select(docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit_model(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose quality score is under 0.5."""
-    model = quality.fit_model(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("quality_score >= 0.5").select(docs.columns)
+    return quality.without_poor(docs, quality.fit_model(docs, read_table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(first, docs.doc_id.cast("long").eqNullSafe(first["__kept"]), "left_semi")
+    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,12 +16,16 @@ Two probing schemes:
   large groups in work that grows with the rows.
 
 ``near_duplicates`` adds a second pass without a cap. MinHash bands meet by the similarity of the
-shingle sets alone, whatever the edit looks like, and each two rows of a band entry that are not yet
-in one component are compared. Matches whose MinHash sketches lie too far apart go; the rest is
-verified on the whole texts by word-shingle Jaccard similarity.
+shingle sets alone, whatever the edit looks like, and each two texts of a band entry that are not yet
+in one component are compared, unless counts prove them unlike: a text shares with another one only
+shingles that occur in some other text of the pass, and two texts of sizes m and n need
+s / (1 + s) * (m + n) common shingles for a similarity of s. Pairs whose MinHash sketches lie too far
+apart go as well; the rest is verified on the whole texts by word-shingle Jaccard similarity.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows that share a
-fingerprint are one node of the link graph, so a group of any number of copies is one row there.
+fingerprint (or, for whole texts, a digest) are one node of the link graph, so a group of any number
+of copies is one row there. Rows without an id are linked like others; a component's id is the
+smallest one of its members, and null if none has any.
 """
 
 from __future__ import annotations
@@ -169,13 +173,18 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document: ``(doc_id, fp long, component_id)``; component = smallest id reachable."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    comps = connected_components(exact_links(nodes, radius))
-    # A component's smallest member is the smallest id of its smallest fingerprint group.
+    comps = connected_components(exact_links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
     # Written out, so that the join below is one of two plain tables, whose hot keys Spark can split.
-    classes = stage(nodes.join(comps, nodes.id == comps.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
+    classes = stage(_classes(nodes, comps, "fp").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _classes(nodes: DataFrame, comps: DataFrame, node: str) -> DataFrame:
+    """``nodes`` with ``root``, their component, and ``component_id``, the smallest ``id`` in it."""
+    placed = nodes.join(comps.select(F.col("node").alias(node), "component"), node, "left").withColumn("root", F.coalesce("component", node)).drop("component")
+    return placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root")
+
+
 def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -240,19 +249,50 @@ def band_leaders(rows: DataFrame, apart: int) -> DataFrame:
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
 
-def band_rest(rows: DataFrame, comps: DataFrame, apart: int) -> DataFrame:
-    """All pairs ``(src, dst)`` that share a band entry and lie in different components ``comps(node, component)``.
-
-    Rows of an entry's largest component needn't probe: each pair that crosses components has an end
-    outside it. Entries within one component, as those of large groups mostly are, have no pair.
-    """
+def apart_rows(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The band rows of entries that hold several components ``comps(node, component)``, with their
+    ``component`` and the entry's largest one, ``main``. Entries within one component, as those of
+    large groups mostly are, have no pair left."""
     placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    live = stage(placed.join(mixed, "key"), "mixed")
-    table = live.select(F.col("key").alias("t_key"), F.col("component").alias("t_component"), F.col("main").alias("t_main"), *[F.col(c).alias(f"t_{c}") for c in ("id", *SKETCH)])
+    return placed.join(mixed, "key")
+
+
+def shared_shingles(ids: DataFrame, texts: DataFrame, k: int, similarity: float, rounds: int = 2) -> DataFrame:
+    """``(id, n, c)`` of the ``ids`` that may have a partner among them: n shingles, c of them in another text, too.
+
+    Two texts of this similarity share at least the share ``similarity`` of either's shingles, so
+    texts with a smaller c have no partner; without them, c of the others may be smaller still.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text.as_py()), k))], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(h)], ["id", "n", "h"])
+
+    tokens = stage(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, n int, h long"), "tokens")
+    kept = None
+    for _ in range(rounds):
+        own = tokens if kept is None else tokens.join(kept, "id", "left_semi")
+        common = own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+        kept = stage(own.join(common, "h", "left_semi").groupBy("id", "n").agg(F.count("*").cast("int").alias("c")).where(F.col("c") >= F.col("n") * similarity - 1e-6), "cores")
+    drop_staged(tokens)
+    return kept
+
+
+def band_rest(live: DataFrame, cores: DataFrame, apart: int, similarity: float) -> DataFrame:
+    """All pairs ``(src, dst)`` of ``live`` that share a band entry, lie in different components and may be similar enough.
+
+    Rows of an entry's largest component needn't probe: each pair that crosses components has an end
+    outside it.
+    """
+    live = live.join(cores, "id")
+    table = live.select(*[F.col(c).alias(f"t_{c}") for c in ("key", "id", "component", "main", "n", "c", *SKETCH)])
     once = (F.col("t_component") == F.col("t_main")) | (F.col("id") < F.col("t_id"))
-    found = live.where("component <> main").join(table, (F.col("key") == F.col("t_key")) & (F.col("component") != F.col("t_component")) & once & _sketches_near(apart))
+    enough = F.least("c", "t_c") >= (F.col("n") + F.col("t_n")) * (similarity / (1 + similarity)) - 1e-6
+    found = live.where("component <> main").join(table, (F.col("key") == F.col("t_key")) & (F.col("component") != F.col("t_component")) & once & enough & _sketches_near(apart))
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
 
@@ -262,42 +302,86 @@ def shingle_jaccard(a: str | None, b: str | None, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose whole texts (``docs(id, text)``) are similar enough."""
+def verified(pairs: DataFrame, texts_of, k: int, similarity: float) -> DataFrame:
+    """The pairs whose whole texts (``texts_of(ids)`` -> ``(id, text)``) are similar enough."""
 
     def run(batches):
         for batch in batches:
             good = [shingle_jaccard(a.as_py(), b.as_py(), k) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    need = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    texts = docs.join(need, "id", "left_semi")
+    texts = texts_of(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     first = pairs.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
     both = first.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst")
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, fp_shingle: int = 3, weak: int = 6, flips: int = 3, radius: int = 15) -> DataFrame:
-    """One row per document: ``(doc_id, component_id)`` of texts with shingle similarity >= ``similarity``.
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, fp_shingle: int = 3, weak: int = 6, flips: int = 3, radius: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, same)`` and their different texts ``(same, id, root, component_id)``.
 
-    Equal texts are one row of the search. Large groups are gathered around leaders, of SimHash
-    entries over ``fp_shingle`` words (short shingles move fewer bits for the same edit) and of
-    MinHash bands; then all pairs of a band entry that are still apart are compared. The decision
-    comes from ``shingle`` words. Rows without an id are members of groups of equal texts only.
+    ``same`` is a text's digest, ``id`` its smallest id, ``root`` its component. Large groups are
+    gathered around leaders, of SimHash entries over ``fp_shingle`` words (short shingles move fewer
+    bits for the same edit) and of MinHash bands; then all pairs of a band entry that are still apart
+    are compared. The decision comes from ``shingle`` words. Texts are told apart by digests alone,
+    so ids may be null or repeat.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak, sketch=shingle), "prints")
     columns = ("fp", "close", *SKETCH, "bands")
-    reps = stage(prints.groupBy("same").agg(F.min_by(F.struct("doc_id", *columns), "doc_id").alias("r")).select("same", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in columns]), "reps")
-    known, texts, apart = reps.where("id IS NOT NULL"), picked.withColumnRenamed("doc_id", "id"), sketch_limit(similarity)
-    rows = stage(band_rows(known), "bands")
-    pairs = stage(wide_links(known, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), "pairs")
-    first = connected_components(verified(pairs, texts, shingle, similarity))
-    rest = stage(band_rest(rows, first, apart), "pairs")
-    links = verified(rest, texts, shingle, similarity)
+    first_row = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*columns)).alias("r"))  # equal texts, equal columns
+    reps = stage(first_row.select(F.monotonically_increasing_id().alias("id"), "same", "doc_id", *[F.col(f"r.{c}").alias(c) for c in columns]), "reps")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = reps.join(ids, "id", "left_semi").select("id", "same")
+        copies = picked.withColumn("same", _digest(F.col("text"))).join(wanted.select("same"), "same", "left_semi")
+        return copies.groupBy("same").agg(F.first("text").alias("text")).join(wanted, "same").select("id", "text")
+
+    apart = sketch_limit(similarity)
+    rows = stage(band_rows(reps), "bands")
+    pairs = stage(wide_links(reps, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), "pairs")
+    first = connected_components(verified(pairs, texts_of, shingle, similarity))
+    live = stage(apart_rows(rows, first), "apart")
+    ids = live.select("id").distinct()
+    cores = shared_shingles(ids, texts_of(ids), shingle, similarity)
+    rest = stage(band_rest(live, cores, apart, similarity), "pairs")
+    links = verified(rest, texts_of, shingle, similarity)
     comps = connected_components(first.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links))
-    classes = stage(reps.join(comps, reps.id == comps.node, "left").select("same", F.coalesce("component", "id").alias("component_id")), "classes")
-    out = prints.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
-    for done in (rows, pairs, rest):
+    classes = stage(_classes(reps.select(F.col("id").alias("node"), "same", F.col("doc_id").alias("id")), comps, "node").select("same", "id", "root", "component_id"), "classes")
+    narrow = stage(prints.select("doc_id", "same"), "rows")
+    for done in (prints, reps, rows, pairs, live, cores, rest):
         drop_staged(done)
-    return out
+    return narrow, classes
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: ``(doc_id, component_id)`` of texts with shingle similarity >= 0.8; see ``text_classes``."""
+    rows, classes = text_classes(docs, id_col, text_col, **options)
+    return rows.join(classes, "same").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay if each group of near duplicates keeps one; all columns.
+
+    It is the row with the group's smallest id; of several texts under that id the one with the
+    smallest digest, and of rows that repeat both, one (the least as JSON). Without any id in a group, the smallest
+    digest stays.
+    """
+    rows, classes = text_classes(docs, id_col, text_col, **options)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")
+    kept = classes.groupBy("root").agg(least).select(F.col("f.id").alias("id"), F.col("f.same").alias("same"))
+    counts = rows.join(kept, rows.same.eqNullSafe(kept["same"]) & rows.doc_id.eqNullSafe(kept["id"])).groupBy("id", kept["same"]).agg(F.count("*").alias("n"))
+    counts = stage(counts, "kept")
+    names = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in names else free(name + "_")
+    key_id, key_same = free("kept_id"), free("kept_same")
+    found = lambda keys: docs.join(keys.select(F.col("id").alias(key_id), F.col("same").alias(key_same)), docs[id_col].cast("long").eqNullSafe(F.col(key_id)) & (_digest(docs[text_col]) == F.col(key_same)), "left_semi")
+    once, more = counts.where("n = 1"), counts.where("n > 1")
+    if more.isEmpty():
+        return found(once)
+    packed = found(more).select(F.struct(*docs.columns).alias("r"), docs[id_col].cast("long").alias("i"), _digest(docs[text_col]).alias("s"))
+    repeated = packed.groupBy("i", "s").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
+    return found(once).unionByName(repeated)

@@ -272,12 +272,14 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """``(doc_id, y, *columns)`` of up to ``max_rows`` labelled rows that aren't held out, written out.
 
-    Rows with the smallest hash of the id; a document with several labels counts by the largest.
+    Rows with the smallest hash of the id; a document with several labels counts by the largest. Of
+    rows that repeat an id the one whose columns have the smallest hash (then the smallest columns) counts.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return stage(picked.select("doc_id", "y", *columns), "sample")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns).join(F.broadcast(ids), "doc_id")
+    one = picked.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(*columns).alias("hash"), *columns)).alias("r"))
+    return stage(one.select("doc_id", "y", *[F.col(f"r.{c}").alias(c) for c in columns]), "sample")
 
 
 def _pieces(text: str | None) -> set[str]:
@@ -340,6 +342,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``least`` or more; all columns, whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([model.features(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.head.probability(x) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``."""
     model = fit_model(docs, labels, max_rows)

@@ -31,7 +31,9 @@ def make(tmp_path, spark):
             labels.append((i, int(not poor), int("schurke" in rows[-1][1].lower())))
     rows += [(700, None, None, None, None), (701, "", "en", "s0", 0), (702, "", "en", "s0", 0), (None, "no id here", "en", "s1", 10)]
     d = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    clashes = {"quality_score": "0.1", "p_text": "'x'", "__toxicity": "1", "kept_id": "7", "SAME": "'y'", "id": "1", "fp": "2", "component_id": "3", "key": "'k'", "label": "0", "toxic": "1"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("*", *[f"{v} AS `{c}`" for c, v in clashes.items()]).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d

@@ -146,6 +146,49 @@ def test_every_edit_shape_at_the_threshold_is_found(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = a + " more"
+    c = b + " words here and there are too"
+    rows = [(None, a), (None, b), (7, c), (3, "x y"), (5, "u v"), (5, "x y"), (5, "u v"), (None, "u v"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, f"s{n}", n, "q", b"z") for n, (i, t) in enumerate(rows)], "doc_id long, text string, same string, kept_id int, id string, kept_same binary")
+    sim = simhash.shingle_jaccard
+    assert sim(a, b, 5) >= 0.8 and sim(b, c, 5) >= 0.8 and sim("x y", "u v", 5) == 0
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(0, 7), (0, 7), (7, 7), (3, 3), (5, 5), (5, 3), (5, 5), (0, 5), (9, 8), (8, 8)], key=str)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.kept_id) for r in kept.collect()) == [(3, "x y", 3), (5, "u v", 4), (7, c, 2), (8, "", 9)]
+    near = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "p q"), (None, "p q")]
+    prints = simhash.fingerprint_components(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in prints) == [(0, 0), (0, 0), (0, 4), (4, 4)]
+
+
+def plain_components(rows, similarity=0.8):
+    group = {i: i for i, _ in rows}
+    sets = [(i, set(simhash.shingles_of(simhash.words_of(t), 5))) for i, t in rows]
+    links = [(i, j) for n, (i, x) in enumerate(sets) for j, y in sets[n + 1 :] if (len(x & y) >= similarity * len(x | y) if x or y else True)]
+    return brute_components(group, links)
+
+
+def test_a_large_group_of_near_copies_equals_brute_force(spark):
+    """Copies of one text with few and many edits, some linked, some not, and a passage that many texts share."""
+    rnd = random.Random(4)
+    base, passage = [f"b{rnd.randrange(10**6)}" for _ in range(120)], [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(260):
+        t = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            t[rnd.randrange(len(t))] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(t))
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randint(5, 60))]
+        texts.append(" ".join(own + passage))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_components(rows)
+    assert got == want and 3 < len(set(want.values())) < 500
+
+
 def test_sketches_estimate_similarity():
     rnd = random.Random(2)
     base = [f"{rnd.randrange(4000)}x" for _ in range(400)]
