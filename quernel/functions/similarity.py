@@ -20,6 +20,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), _dot(a, b) / norm).otherwise(ZERO)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null without a direction."""
+    norm = F.sqrt(_dot(a, a))
+    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))[0]
+
+
+def unit_cosine(a: Column, b: Column) -> Column:
+    """``cosine`` of vectors that are at length 1 already; 0 for nulls and lengths that differ."""
+    return F.when(F.size(a) == F.size(b), _dot(a, b)).otherwise(ZERO)
+
+
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(ZERO), lambda s, v: s + v))
 

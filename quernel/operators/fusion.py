@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.temporal import in_range
@@ -39,7 +39,7 @@ def rrf(legs: list[DataFrame], k: int = 60, limit: int = 10, weights: list[float
     return best.select(*[F.col(f"__first.{c}").alias(c) for c in columns], "score", F.row_number().over(w).alias("rank"))
 
 
-def date_filter(results: DataFrame, start: date | None, end: date | None) -> DataFrame:
+def date_filter(results: DataFrame, start: date | Column | None, end: date | Column | None) -> DataFrame:
     """After the cut: rows whose event time, or else date, is known to lie outside go."""
     if start is None and end is None:
         return results
@@ -47,15 +47,15 @@ def date_filter(results: DataFrame, start: date | None, end: date | None) -> Dat
 
 
 def hydrate(results: DataFrame, memories: DataFrame) -> DataFrame:
-    """Contents, dates and moods from the memories; rows without a memory keep their own."""
-    m = memories.select(F.col("content_hash"), *[F.col(c).alias(f"__{c}") for c in ("content", "date", "mood", "event_time")])
-    wide = results.join(m, "content_hash", "left") if _large(results) else m.join(F.broadcast(results), "content_hash", "right")
+    """Contents, dates and moods from the memories; rows without a memory keep their own.
+
+    ``results`` are cut to a search's limit, so their hashes may be broadcast: memories are read once,
+    without a shuffle, and what is left of them is as small as the results.
+    """
+    hashes = F.broadcast(results.select("content_hash").distinct())
+    m = memories.join(hashes, "content_hash", "left_semi").select("content_hash", *[F.col(c).alias(f"__{c}") for c in ("content", "date", "mood", "event_time")])
+    wide = results.join(F.broadcast(m), "content_hash", "left")
     there = F.col("__content").isNotNull()
     pick = lambda c: F.when(there, F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
     out = {c: F.col(c) for c in results.columns} | {c: pick(c) for c in ("content", "date", "mood")} | {"event_time": F.coalesce("__event_time", "event_time").alias("event_time")}
     return wide.select(*[out[c] for c in results.columns])
-
-
-def _large(results: DataFrame) -> bool:
-    """Results of a search are cut to a limit and may be broadcast; anything else may not."""
-    return "rank" not in results.columns

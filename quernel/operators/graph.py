@@ -7,6 +7,8 @@ target" they are laid out once per end (``adjacency``).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +59,26 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 30, min_confidence:
     return cut.withColumn("match", match).orderBy("match", F.desc("mention_count"), "id")
 
 
+def search_words(nodes: DataFrame, words: list[str], limit: int) -> DataFrame:
+    """For each word the nodes that ``search_nodes`` cuts to ``limit``, if they hold it as a whole word; one pass.
+
+    Columns of the nodes, ``word_no`` and ``match``; by word, then as ``search_nodes`` orders them.
+    """
+    spark = nodes.sparkSession
+    if not words:
+        return nodes.withColumns({"word_no": F.lit(0), "match": F.lit(0)}).limit(0)
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "word_no int, word string")
+    like = F.like(nocase("name"), F.concat(F.lit("%"), nocase("word"), F.lit("%")))
+    met = nodes.join(F.broadcast(asked), like)  # the words of one query
+    w = Window.partitionBy("word_no").orderBy(F.desc("mention_count"), "id")
+    cut = met.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+    q, name = F.lower("word"), F.lower("name")
+    whole = reduce(Column.__or__, [(F.col("word_no") == i) & whole_word(F.col("name"), x) for i, x in enumerate(words)])
+    ends = F.contains(q, F.lit(" ")) & F.endswith(name, F.concat(F.lit(" "), q))
+    match = F.when(name == q, 0).when(F.startswith(name, F.concat(q, F.lit(" "))) | ends, 1).otherwise(2)
+    return cut.where(whole).withColumn("match", match).orderBy("word_no", "match", F.desc("mention_count"), "id").drop("word")
+
+
 def resolve_names(aliases: DataFrame, names: DataFrame) -> DataFrame:
     """``names(name)`` -> ``(name, resolved, step)``: itself (0), its canonical names (1), their and its aliases (2).
 
@@ -158,12 +180,12 @@ def traverse(edges: DataFrame, aliases: DataFrame, entity: str, max_hops: int =
     return out
 
 
-def shortest_path_lengths(edges: DataFrame, source: str, max_hops: int = 10, include_historical: bool = False) -> DataFrame:
-    """``(node, depth)`` of everything within ``max_hops`` of a name, in full lower case."""
+def shortest_path_lengths(edges: DataFrame, source: str, max_hops: int | None = None, include_historical: bool = False) -> DataFrame:
+    """``(node, depth)`` of everything that can be reached (within ``max_hops``, if given) from a name, in full lower case."""
     lower = edges if include_historical else current(edges)
     adj = adjacency(lower, F.lower).select("node", "other").distinct()
     seen = frontier = edges.sparkSession.createDataFrame([(source.lower(), 0)], "node string, depth int")
-    for depth in range(1, max_hops + 1):
+    for depth in count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.join(adj, "node").select(F.col("other").alias("node")).distinct()
         frontier = stage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
@@ -172,19 +194,20 @@ def shortest_path_lengths(edges: DataFrame, source: str, max_hops: int = 10, inc
     return seen
 
 
-def find_path(edges: DataFrame, source: str, target: str, include_historical: bool = False, max_hops: int = 50) -> list[str]:
+def find_path(edges: DataFrame, source: str, target: str, include_historical: bool = False) -> list[str]:
     """Names on a shortest path, ends included; [] if there is none. A name is a path to itself.
 
     Each node remembers the parent that reaches it first: by the parent's own order, then the edge's
-    id. Levels are tables; only the path comes to the driver.
+    id. Levels are tables, and there is no bound on their number: the search ends with the target
+    or an empty level. Only the path comes to the driver.
     """
     if source.lower() == target.lower():
         return [source]
     adj = adjacency(current(edges, include_historical), F.lower).withColumn("spelling", F.when(F.col("is_target") == 0, F.col("target")).otherwise(F.col("source"))).select("node", "other", "spelling", "id")
     spark = edges.sparkSession
     seen = frontier = spark.createDataFrame([(source.lower(), None, source, "")], "node string, parent string, spelling string, place string")
-    levels = []
-    for _ in range(max_hops):
+    levels: list[DataFrame] = []
+    while True:
         way = F.concat_ws("\x00", "f.place", "adj.id")
         step = frontier.alias("f").join(adj.alias("adj"), "node").select(F.col("adj.other").alias("node"), F.col("node").alias("parent"), F.col("adj.spelling").alias("spelling"), way.alias("place"))
         first = step.groupBy("node").agg(F.min_by(F.struct("parent", "spelling", "place"), "place").alias("b")).select("node", "b.*")
@@ -200,7 +223,6 @@ def find_path(edges: DataFrame, source: str, target: str, include_historical: bo
                 hit = level.where(F.col("node") == hit.parent).first()
                 path.append(hit.spelling)
             return [source, *reversed(path)]
-    return []
 
 
 def evidence_hits(edges: DataFrame, score: Column) -> DataFrame:

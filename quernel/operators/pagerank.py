@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernel.functions.text import nocase
 from quernel.operators.graph import adjacency
 from quernel.operators.temporal import current
-from quernel.workspace import stage
+from quernel.workspace import drop_staged, stage
 
 STAGE_EVERY = 5
 
@@ -25,16 +25,17 @@ def personalized_pagerank(edges: DataFrame, seeds: list[str], damping: float = 0
     Seeds that no edge touches don't take part; if none takes part each seed gets 1 / seeds and
     nothing moves; without edges the result is empty. Seeds that differ in case lose a share.
 
-    The normalised adjacency is written once and every round is one join and one map-side
-    combined sum by target node, which splits hubs among all tasks.
+    The edges are read once and laid out for both ends; the normalised adjacency is written, and
+    every round is one join and one map-side combined sum by target node, which splits hubs among
+    all tasks.
     """
     spark = edges.sparkSession
     damping = min(0.99, max(0.01, damping))
     kept = current(edges, include_historical).select(F.lower("source").alias("s"), F.lower("target").alias("t"), _weight().alias("w"))
-    both = kept.select(F.col("s").alias("node"), F.col("t").alias("other"), "w").unionByName(kept.select(F.col("t").alias("node"), F.col("s").alias("other"), "w"))
-    out_weight = both.groupBy("node").agg(F.sum("w").alias("out"))
-    adj = stage(both.join(out_weight, "node").select("node", "other", (F.col("w") / F.col("out")).alias("share")), "pagerank")
-    nodes = stage(out_weight.select("node"), "pagerank-nodes")
+    ends = F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("t").alias("other")), F.struct(F.col("t").alias("node"), F.col("s").alias("other"))))
+    # Parallel edges are one from here on: their shares add up.
+    both = stage(kept.select(ends.alias("e"), "w").groupBy("e.node", "e.other").agg(F.sum("w").alias("w")), "pagerank")
+    nodes = stage(both.groupBy("node").agg(F.sum("w").alias("out")), "pagerank-nodes")
     n = nodes.count()
     names = [s.lower() for s in seeds]
     schema = "node string, score double"
@@ -45,12 +46,19 @@ def personalized_pagerank(edges: DataFrame, seeds: list[str], damping: float = 0
     if not listed:
         return spark.createDataFrame([(s, 1.0 / len(names)) for s in dict.fromkeys(names)], schema)
     teleport = F.when(F.col("node").isin(active), (1 - damping) / len(listed)).otherwise(0.0)
-    scores = nodes.withColumn("score", F.lit(1.0 / n))
+    scores = nodes.select("node", F.lit(1.0 / n).alias("score"))
+    adj, steps = stage(both.join(nodes, "node").select("node", "other", (F.col("w") / F.col("out")).alias("share")), "pagerank"), []
+    drop_staged(both)
     for i in range(1, iterations + 1):
         moved = scores.join(adj, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         scores = moved.select("node", (teleport + damping * F.col("in")).alias("score"))  # every node has a neighbour
-        if i % STAGE_EVERY == 0 and i < iterations:
-            scores = stage(scores, "pagerank-scores")
+        if i % STAGE_EVERY == 0:
+            steps.append(stage(scores, "pagerank-scores"))
+            scores = steps[-1]
+    if iterations % STAGE_EVERY:
+        scores = stage(scores, "pagerank-scores")
+    for done in (nodes, adj, *[x for x in steps if x is not scores]):
+        drop_staged(done)
     return scores.where("score > 0")
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.functions.similarity import cosine, jaro_winkler_udf, length_ratio
+from quernel.functions.similarity import jaro_winkler_udf, length_ratio, unit, unit_cosine
 from quernel.functions.text import nocase
 
 VEC_AUTO, NAME_AUTO, VEC_CANDIDATE, MIN_RATIO = 0.98, 0.85, 0.90, 0.33
@@ -16,7 +16,7 @@ CANDIDATE_COLUMNS = ["source", "target", "vector_sim", "name_sim", "decision"]
 
 def _decided(pairs: DataFrame, vec_auto: float, name_auto: float, vec_candidate: float) -> DataFrame:
     """Vector similarity first: spelling, the slow part, only for pairs that pass it."""
-    near = pairs.withColumn("vector_sim", cosine(F.col("__va"), F.col("__vb"))).where(F.col("vector_sim") >= vec_candidate)
+    near = pairs.withColumn("vector_sim", unit_cosine(F.col("__va"), F.col("__vb"))).where(F.col("vector_sim") >= vec_candidate)
     named = near.withColumn("name_sim", jaro_winkler_udf("source", "target"))
     auto = (F.col("vector_sim") >= vec_auto) & (F.col("name_sim") >= name_auto)
     return named.withColumn("decision", F.when(auto, "auto").otherwise("candidate")).select(*CANDIDATE_COLUMNS)
@@ -26,7 +26,7 @@ def find_similar(names: DataFrame, name: str, vector: list[float], vec_auto: flo
     """Other names (``name``, ``embedding``) that may be the same as one given; ties in name order."""
     probe = F.array(*[F.lit(float(x)) for x in vector])
     others = names.where(nocase("name") != nocase(F.lit(name)))
-    pairs = others.select(F.lit(name).alias("source"), F.col("name").alias("target"), probe.alias("__va"), F.col("embedding").alias("__vb"))
+    pairs = others.select(F.lit(name).alias("source"), F.col("name").alias("target"), unit(probe).alias("__va"), unit(F.col("embedding")).alias("__vb"))
     return _decided(pairs.where(length_ratio(F.col("source"), F.col("target")) >= MIN_RATIO), vec_auto, name_auto, vec_candidate)
 
 
@@ -37,11 +37,11 @@ def pair_blocks(names: DataFrame, ratio: float = MIN_RATIO, per_key: int = 256)
     source. A pair search over all names is quadratic by its definition; it is dealt out as blocks:
     every name has a block number below ``ceil(sqrt(names / per_key))``, and a pair meets under the
     two numbers' key, so no task holds more than two blocks of about ``per_key`` names times the
-    number of blocks.
+    number of blocks. ``__va`` and ``__vb`` are the vectors at length 1.
     """
     n = names.count()
     blocks = max(1, round((n / per_key) ** 0.5))
-    own = names.where(F.length(F.trim("name")) > 0).withColumn("__b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
+    own = names.where(F.length(F.trim("name")) > 0).withColumn("embedding", unit(F.col("embedding"))).withColumn("__b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
     left = own.withColumn("__key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.col("__b").alias("x"), i.cast("long").alias("y")))))
     right = own.withColumn("__key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(i.cast("long").alias("x"), F.col("__b").alias("y")))))
     a, b = left.alias("a"), right.alias("b")

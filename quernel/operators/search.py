@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.temporal import temporal_range
+from quernel.functions.temporal import in_range, temporal_range
 from quernel.functions.text import clean_query, seed_words, whole_word
 from quernel.operators import fusion, graph, pagerank
 from quernel.operators.text_search import bm25_search
@@ -17,13 +17,14 @@ from quernel.operators.vector_search import vector_search
 
 @dataclass
 class Tables:
-    """What a search reads. ``vectors`` may be None: then there is no vector leg."""
+    """What a search reads. ``vectors`` may be None: then there is no vector leg. Without an index texts are scanned."""
 
     memories: DataFrame
     nodes: DataFrame
     edges: DataFrame
     aliases: DataFrame
     vectors: DataFrame | None = None
+    index: str | None = None  #: where the stored full-text index is
 
 
 def _empty_leg(memories: DataFrame) -> DataFrame:
@@ -38,9 +39,8 @@ def seeds(nodes: DataFrame, query: str, entities: list[str] | None = None) -> li
     spark = nodes.sparkSession
     words = entities if entities else spark.range(1).select(seed_words(F.lit(query)).alias("w")).first().w
     found: dict[str, tuple[int, int]] = {}
-    for word in words:
-        for r in graph.search_nodes(nodes, word, 5).where(whole_word(F.col("name"), word)).collect():
-            found.setdefault(r.name, (-r.mention_count, len(found)))
+    for r in graph.search_words(nodes, list(words), 5).collect():  # at most five a word
+        found.setdefault(r.name, (-r.mention_count, len(found)))
     best = sorted(found, key=found.get)[:5]
     top = graph.top_entity(nodes).first()
     others = [n for n in best if top is None or n.lower() != top.name.lower()]
@@ -76,11 +76,10 @@ def search_memories(tables: Tables, query: str, query_vector: list[float] | None
     first found by the text leg. With entities the vector leg has no contents to hold an entity yet
     and so adds nothing, unless ``hydrate_before_filter``.
     """
-    if date_from is None and date_to is None and as_of is not None:
-        date_from, date_to = temporal_range(query, as_of)
+    said = temporal_range(F.lit(query), F.lit(as_of)) if date_from is None and date_to is None and as_of is not None else None
     m = tables.memories
     text = " ".join(x for x in (clean_query(e, True) for e in entities) if x) if entities else clean_query(query)
-    legs = [bm25_search(m, text, limit * 3, mode) if text else _empty_leg(m)]
+    legs = [bm25_search(m, text, limit * 3, mode, tables.index) if text else _empty_leg(m)]
     if tables.vectors is None or query_vector is None:
         legs.append(_empty_leg(m))
     elif not entities:
@@ -91,7 +90,11 @@ def search_memories(tables: Tables, query: str, query_vector: list[float] | None
         wanted = F.array(*[F.lit(e.lower()) for e in entities])
         legs.append(near.where(F.exists(wanted, lambda e: F.contains(F.lower("content"), e))))
     legs.append(graph_leg(tables, query, limit * 3, entities, include_historical))
-    fused = fusion.date_filter(fusion.rrf(legs, limit=limit), date_from, date_to)
+    fused = fusion.rrf(legs, limit=limit)
+    if said is None:
+        fused = fusion.date_filter(fused, date_from, date_to)
+    else:
+        fused = fused.where(said["start"].isNull() | in_range(F.coalesce("event_time", "date"), said["start"], said["stop"], keep_unknown=True))
     out = fusion.hydrate(fused, m)
     return out.select("content", "date", "mood", "event_time", F.round("score", 4).alias("score"), "source", "content_hash", "rank").orderBy("rank")
 
@@ -149,12 +152,12 @@ def explain_connection(tables: Tables, a: str, b: str, include_historical: bool
     path = graph.find_path(tables.edges, a, b, include_historical)
     steps = list(zip(path, path[1:], strict=False))
     hashes = []
-    for x, y in steps:
-        ends = graph.current(tables.edges, include_historical)
-        both = ((F.lower("source") == x.lower()) & (F.lower("target") == y.lower())) | ((F.lower("source") == y.lower()) & (F.lower("target") == x.lower()))
-        row = ends.where(both).orderBy("id").select("source_hash").first()
-        if row and row[0]:
-            hashes.append(row[0])
+    if steps:
+        spark = tables.memories.sparkSession
+        wanted = spark.createDataFrame([(i, *sorted((x.lower(), y.lower()))) for i, (x, y) in enumerate(steps)], "step int, a string, b string")
+        ends = graph.current(tables.edges, include_historical).select("id", "source_hash", F.least(F.lower("source"), F.lower("target")).alias("a"), F.greatest(F.lower("source"), F.lower("target")).alias("b"))
+        first = ends.join(F.broadcast(wanted), ["a", "b"]).groupBy("step").agg(F.min_by("source_hash", "id").alias("source_hash"))  # one row a step
+        hashes = [r.source_hash for r in first.orderBy("step").collect() if r.source_hash]
     spark = tables.memories.sparkSession
     rows = graph.enrich(tables.nodes, spark.createDataFrame([(n,) for n in path], "name string")).collect() if path else []
     full = contents(tables.memories, hashes)

@@ -8,12 +8,14 @@ length counts the terms of all three.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.text import accent_table, terms
+from quernel.workspace import stage
 
 K1, B = 1.2, 0.75
 
@@ -52,22 +54,34 @@ def bm25_term(f: Column, n: Column, total: Column, length: Column, average: Colu
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
-def bm25(memories: DataFrame, query: str, limit: int = 20, mode: str = "and") -> DataFrame:
+def scored(counted: DataFrame, phrases_: int, total: Column, average: Column, limit: int, mode: str) -> DataFrame:
+    """The best ``limit`` rows ``(id, rank)`` of ``counted(id, len, f0, f1, ...)``, which has all that match."""
+    columns = [f"f{i}" for i in range(phrases_)]
+    df = counted.agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"__n{c}") for c in columns])  # one row
+    test = reduce(Column.__and__ if mode == "and" else Column.__or__, [F.col(c) > 0 for c in columns])
+    rank = reduce(Column.__add__, [F.when(F.col(c) > 0, bm25_term(F.col(c), F.col(f"__n{c}"), total, F.col("len"), average)).otherwise(0.0) for c in columns])
+    return counted.where(test).join(F.broadcast(df), F.lit(True)).select("id", rank.alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)
+
+
+def bm25(memories: DataFrame, query: str, limit: int = 20, mode: str = "and", index: str | None = None) -> DataFrame:
     """The best ``limit`` memories: all columns and ``rank``, best first, ties by id.
 
-    One pass gathers corpus statistics (a single row), one scores; neither shuffles texts. A query
-    without terms matches nothing.
+    With a stored index (``write_index``) its postings of the query's terms are read. Without, one
+    pass over the memories counts terms; the counts are written, a few numbers a memory. Either
+    way, texts come in at the end, for the rows of the result. A query without terms matches nothing.
     """
     wanted = phrases(query)
     if not wanted:
         return memories.withColumn("rank", F.lit(0.0)).limit(0)
-    columns = [f"f{i}" for i in range(len(wanted))]
-    counted = match_counts(memories, wanted)
-    stats = counted.agg(F.count("*").alias("__total"), (F.sum("len") / F.count("*")).alias("__average"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"__n{c}") for c in columns])
-    test = reduce(Column.__and__ if mode == "and" else Column.__or__, [F.col(c) > 0 for c in columns])
-    rank = reduce(Column.__add__, [F.when(F.col(c) > 0, bm25_term(F.col(c), F.col(f"__n{c}"), F.col("__total"), F.col("len"), F.col("__average"))).otherwise(0.0) for c in columns])
-    scored = counted.where(test).join(F.broadcast(stats), F.lit(True)).withColumn("rank", rank)  # stats: one row
-    return scored.select(*memories.columns, "rank").orderBy(F.desc("rank"), "id").limit(limit)
+    if index is not None:
+        counted, stats = index_counts(memories.sparkSession, index, wanted), index_stats(memories.sparkSession, index)
+        total, average = F.lit(stats.total), F.lit(float(stats.terms) / max(1, stats.total))
+    else:
+        counted = stage(match_counts(memories, wanted).select("id", "len", *[f"f{i}" for i in range(len(wanted))]), "counts")
+        size = counted.agg(F.count("*").alias("total"), F.sum("len").alias("terms")).first()
+        total, average = F.lit(size.total), F.lit(float(size.terms or 0) / max(1, size.total))
+    best = scored(counted, len(wanted), total, average, limit, mode)
+    return memories.join(F.broadcast(best), "id").select(*memories.columns, "rank").orderBy(F.desc("rank"), "id")  # limit rows
 
 
 def normalised(ranked: DataFrame) -> DataFrame:
@@ -76,16 +90,21 @@ def normalised(ranked: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(best), F.lit(True)).withColumn("score", F.when(F.col("__best") > 0, F.col("rank") / F.col("__best")).otherwise(1.0)).drop("__best")
 
 
-def bm25_search(memories: DataFrame, query: str, limit: int = 20, mode: str = "and") -> DataFrame:
+def bm25_search(memories: DataFrame, query: str, limit: int = 20, mode: str = "and", index: str | None = None) -> DataFrame:
     """The text leg of a search, in the common schema of hits."""
-    found = normalised(bm25(memories, query, limit, mode))
+    found = normalised(bm25(memories, query, limit, mode, index))
     return found.select("content", "date", "mood", "ts", "score", F.lit("bm25").alias("source"), "content_hash", "event_time", F.col("id").cast("string").alias("__tie"))
 
 
+FIELD = 1 << 24  #: places of the second and third field begin at this and twice this, so no phrase spans two
+
+
 def postings(memories: DataFrame) -> DataFrame:
-    """``(term, id, tf, len)``: the inverted index, to be stored by term for many queries."""
-    cut = memories.select("id", F.concat(terms("content"), terms(F.date_format("date", "yyyy-MM-dd")), terms("mood")).alias("t"))
-    return cut.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """``(term, id, tf, len, places)``: the inverted index."""
+    cut = memories.select("id", F.array(terms("content"), terms(F.date_format("date", "yyyy-MM-dd")), terms("mood")).alias("t"))
+    placed = F.flatten(F.transform("t", lambda f, i: F.transform(f, lambda t, k: F.struct(t.alias("term"), (i * FIELD + k).cast("int").alias("at")))))
+    flat = cut.select("id", F.aggregate("t", F.lit(0), lambda n, f: n + F.size(f)).alias("len"), F.explode(placed).alias("p"))
+    return flat.groupBy(F.col("p.term").alias("term"), "id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p.at")).alias("places"))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -93,24 +112,51 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def write_index(memories: DataFrame, path: str, buckets: int = 64) -> None:
-    """Stores the index partitioned by a hash of the term, so a query reads a few partitions only."""
-    index = postings(memories).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    index.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    memories.agg(F.count("*").alias("total"), F.avg(F.size(terms("content")) + F.size(terms(F.date_format("date", "yyyy-MM-dd"))) + F.size(terms("mood"))).alias("average"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
-
+def write_index(memories: DataFrame, path: str) -> None:
+    """Adds the memories, which must be new to it, to the index at ``path`` as a segment of its own.
 
-def index_search(spark, path: str, query: str, limit: int = 20, mode: str = "and") -> DataFrame:
-    """``(id, rank)`` from a stored index; single terms only (phrases need positions: use ``bm25``)."""
-    wanted = [t for p in phrases(query) for t in p]
+    Postings lie sorted by term and id, in files that are ranges of both: a query reads the files
+    and row groups that may hold its terms, and a term that is in most memories has many files.
+    """
+    spark = memories.sparkSession
+    segment = f"{path}/{{}}/segment={uuid.uuid4().hex}"
+    ordered = postings(memories).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    ordered.write.option("parquet.block.size", 16 << 20).parquet(segment.format("postings"))
+    # The size is written last: a segment counts once it has one.
+    written = spark.read.parquet(segment.format("postings"))
+    size = memories.agg(F.count("*").alias("total")).join(written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")), F.lit(True))
+    size.coalesce(1).write.parquet(segment.format("sizes"))
+
+
+def index_stats(spark: SparkSession, path: str):
+    return spark.read.parquet(f"{path}/sizes").agg(F.sum("total").alias("total"), F.sum("terms").alias("terms")).first()
+
+
+def index_counts(spark: SparkSession, path: str, wanted: list[list[str]]) -> DataFrame:
+    """``(id, len, f0, f1, ...)`` of the memories with a hit of any phrase, from the postings of their terms."""
+    names = list(dict.fromkeys(t for p in wanted for t in p))
+    done = [r.segment for r in spark.read.parquet(f"{path}/sizes").select("segment").distinct().collect()]
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("segment").isin(done) & F.col("term").isin(names))
+    one = lambda c, t: F.max(F.when(F.col("term") == t, F.col(c)))
+    single = [t for p in wanted if len(p) == 1 for t in p]
+    within = list(dict.fromkeys(t for p in wanted if len(p) > 1 for t in p))
+    found = rows.groupBy("id", "len").agg(
+        *[F.coalesce(one("tf", t), F.lit(0)).alias(f"tf_{names.index(t)}") for t in dict.fromkeys(single)], *[F.coalesce(one("places", t), F.array().cast("array<int>")).alias(f"at_{names.index(t)}") for t in within]
+    )
+
+    def hits(phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.col(f"tf_{names.index(phrase[0])}")
+        rest = [(k, F.col(f"at_{names.index(t)}")) for k, t in enumerate(phrase) if k]
+        return F.size(F.filter(F.col(f"at_{names.index(phrase[0])}"), lambda p: reduce(Column.__and__, [F.array_contains(at, p + k) for k, at in rest]))).cast("long")
+
+    return found.select("id", F.col("len").cast("long").alias("len"), *[hits(p).alias(f"f{i}") for i, p in enumerate(wanted)])
+
+
+def index_search(spark: SparkSession, path: str, query: str, limit: int = 20, mode: str = "and") -> DataFrame:
+    """``(id, rank)`` from a stored index alone."""
+    wanted = phrases(query)
     if not wanted:
         return spark.createDataFrame([], "id long, rank double")
-    stats = spark.read.parquet(f"{path}/stats").first()
-    keys = spark.createDataFrame([(t, wanted.count(t)) for t in dict.fromkeys(wanted)], "term string, times int")
-    buckets = [r[0] for r in keys.select(F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int")).distinct().collect()]
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted)).join(F.broadcast(keys), "term")
-    df = rows.groupBy("term").agg(F.count("*").alias("n"))  # a row per query term
-    score = bm25_term(F.col("tf"), F.col("n"), F.lit(stats.total), F.col("len"), F.lit(stats.average)) * F.col("times")
-    found = rows.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(score).alias("rank"), F.count("*").alias("matched"))
-    found = found.where(F.col("matched") == len(set(wanted))) if mode == "and" else found
-    return found.select("id", "rank").orderBy(F.desc("rank"), "id").limit(limit)
+    stats = index_stats(spark, path)
+    return scored(index_counts(spark, path, wanted), len(wanted), F.lit(stats.total), F.lit(float(stats.terms) / max(1, stats.total)), limit, mode)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import similarity, temporal
-from quernel.functions.text import accent_table, csv_list, joined_list, nocase, seed_words, term_fold, terms
+from quernel.functions.text import STOP_WORDS, accent_table, csv_list, joined_list, nocase, seed_words, term_fold, terms
 from quernel.operators import communities, fusion, graph, pagerank, resolve, search, text_search, timeline, vector_search
 from quernel.operators import temporal as history
 from quernel.sources import views
@@ -50,19 +50,20 @@ def _tokens(what: str) -> str:
 _CUT = f"""cut AS (SELECT id, content, date, mood, content_hash, {_tokens('content')} AS c, {_tokens("strftime(date, '%Y-%m-%d')")} AS d, {_tokens('mood')} AS m FROM memories_v)"""
 
 
-def _bm25_sql(words: list[str], mode: str, limit: int) -> str:
+def _bm25_body(words: list[str], mode: str, limit: int) -> str:
     hits = ", ".join(f"len(list_filter(c, lambda x: x = '{w}')) + len(list_filter(d, lambda x: x = '{w}')) + len(list_filter(m, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(words))
     counts = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(words)))
     idf = [f"CASE WHEN ln((total - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n{i} + 0.5) / (n{i} + 0.5)) END" for i in range(len(words))]
     rank = " + ".join(f"CASE WHEN f{i} > 0 THEN ({idf[i]}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / average)) ELSE 0 END" for i in range(len(words)))
     test = (" AND " if mode == "and" else " OR ").join(f"f{i} > 0" for i in range(len(words)))
-    return with_views(
-        f"""WITH {_CUT}, f AS (SELECT *, len(c) + len(d) + len(m) AS len, {hits} FROM cut),
+    return f"""WITH {_CUT}, f AS (SELECT *, len(c) + len(d) + len(m) AS len, {hits} FROM cut),
 s AS (SELECT count(*) AS total, sum(len) / count(*) AS average, {counts} FROM f),
 ranked AS (SELECT id, content_hash, {rank} AS rank FROM f CROSS JOIN s WHERE {test} ORDER BY rank DESC, id LIMIT {limit})
-""",
-        "memories_v",
-    )
+"""
+
+
+def _bm25_sql(words: list[str], mode: str, limit: int) -> str:
+    return with_views(_bm25_body(words, mode, limit), "memories_v")
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +72,12 @@ def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_bm25_sql(ANY_OF.split(), "or", 10) + "SELECT id, content_hash, round(rank, 6) AS rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or").select("id", "content_hash", F.round("rank", 6).alias("rank"))
+    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or", views.text_index(spark, sf_dir)).select("id", "content_hash", F.round("rank", 6).alias("rank"))
 
 
 @query(_bm25_sql(ALL_OF.split(), "and", 20) + "SELECT id, round(CASE WHEN max(rank) OVER () > 0 THEN rank / max(rank) OVER () ELSE 1 END, 6) AS score FROM ranked")
 def bm25_normalised(spark, sf_dir):
-    return text_search.normalised(text_search.bm25(_memories(spark, sf_dir), ALL_OF, 20)).select("id", F.round("score", 6).alias("score"))
+    return text_search.normalised(text_search.bm25(_memories(spark, sf_dir), ALL_OF, 20, index=views.text_index(spark, sf_dir))).select("id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(["the", "idiot"], "and", 1_000_000) + "SELECT id FROM ranked")
@@ -85,6 +86,18 @@ def fts_and_match(spark, sf_dir):
     return counted.where("f0 > 0 AND f1 > 0").select("id")
 
 
+@query(_bm25_sql(ANY_OF.split(), "or", 10) + "SELECT id, content_hash, round(rank, 6) AS rank FROM ranked")
+def bm25_scan(spark, sf_dir):
+    """The same as ``bm25_topk``, without an index."""
+    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or").select("id", "content_hash", F.round("rank", 6).alias("rank"))
+
+
+@query(with_views(f"WITH {_CUT} SELECT id, CAST(len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) AS BIGINT) AS hits FROM cut WHERE len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) > 0", "memories_v"))
+def fts_phrase_index(spark, sf_dir):
+    counted = text_search.index_counts(spark, views.text_index(spark, sf_dir), text_search.phrases(PHRASE))
+    return counted.where("f0 > 0").select("id", F.col("f0").alias("hits"))
+
+
 @query(with_views(f"WITH {_CUT} SELECT id, CAST(len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) AS BIGINT) AS hits FROM cut WHERE len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) > 0", "memories_v"))
 def fts_phrase(spark, sf_dir):
     counted = text_search.match_counts(_memories(spark, sf_dir), text_search.phrases(PHRASE))
@@ -101,7 +114,10 @@ def text_folds(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", term_fold("text").alias("folded"), nocase("text").alias("nocase"), F.size(terms("text")).alias("n_terms"))
 
 
-@query("SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'is', 'are', 'was', 'were', 'what', 'who', 'how', 'why', 'do', 'em', 'anh', 'cho', 'qua', 'hay', 'sao', 'theo', 'ai', 'khi')))) AS words FROM conversations")
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(f"SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})))) AS words FROM conversations")
 def seed_terms(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(seed_words(F.col("text"))).alias("words"))
 
@@ -148,7 +164,7 @@ def _legs(spark, sf_dir):
     m = _memories(spark, sf_dir)
     v = m.select("content_hash", similarity.fake_embedding("content", 64).alias("embedding"))
     q = v.where("content_hash IS NOT NULL").orderBy("content_hash").first().embedding
-    return m, [text_search.bm25_search(m, ANY_OF, 30, "or").withColumn("__tie", F.lpad("__tie", 20, "0")), vector_search.vector_search(v, q, 30)]
+    return m, [text_search.bm25_search(m, ANY_OF, 30, "or", views.text_index(spark, sf_dir)).withColumn("__tie", F.lpad("__tie", 20, "0")), vector_search.vector_search(v, q, 30)]
 
 
 _FAKE = "list_transform(range(0, 64), lambda i: (CAST('0x' || content_hash[i % 64 + 1] AS INTEGER) - 8) / 8.0)"
@@ -185,25 +201,48 @@ def hydrate(spark, sf_dir):
     return fusion.hydrate(fusion.rrf(legs, limit=15), m).select("content_hash", "content", "date", "mood", "event_time", "source", "rank")
 
 
-def _tables(spark, sf_dir, e=None) -> search.Tables:
+def _tables(spark, sf_dir) -> search.Tables:
     m = _memories(spark, sf_dir)
     v = m.select("content_hash", similarity.fake_embedding("content", 64).alias("embedding"))
-    return search.Tables(m, views.nodes(spark, sf_dir), e if e is not None else views.place_edges(spark, sf_dir), views.aliases(spark, sf_dir), v)
+    return search.Tables(m, views.nodes(spark, sf_dir), views.edges(spark, sf_dir), views.aliases(spark, sf_dir), v, views.text_index(spark, sf_dir))
 
 
-#: No node is named like a word of the query, so the graph leg is empty there.
-@query(_rrf_sql(["idiot", "trash"], 10) + "SELECT m.content, m.date, m.mood, m.event_time, round(s, 4) AS score, source, content_hash, CAST(rank AS INTEGER) AS rank FROM fused JOIN memories_v m USING (content_hash)")
-def hybrid_search(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    q = t.vectors.orderBy("content_hash").first().embedding
-    return search.search_memories(t, "Idiot, trash!", q, limit=10, mode="or", as_of=MEMORY_DAY)
+#: Current edges once for each end, numbered per node by falling weight.
+_NEAR = """ends AS (SELECT lower(source) AS node, * FROM edges_v WHERE valid_until IS NULL UNION ALL SELECT lower(target), * FROM edges_v WHERE valid_until IS NULL AND lower(source) <> lower(target)),
+near AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, id) AS p FROM ends)"""
 
 
-@query()
-def hybrid_search_entities(spark, sf_dir):
+def _hybrid_sql(legs: str, limit: int) -> str:
+    """The fusion of legs bm(content_hash, p), ve(..) and gr(content, content_hash, p), hydrated."""
+    return f"""{legs},
+u AS (SELECT content_hash, p, 0 AS leg, NULL AS content FROM bm UNION ALL SELECT content_hash, p, 1, NULL FROM ve UNION ALL SELECT content_hash, p, 2, content FROM gr),
+g AS (SELECT content_hash, round(sum(1.0 / (60 + p)), 12) AS s, min(leg * 1000 + p) AS first, any_value(content) AS own FROM u GROUP BY 1),
+fused AS (SELECT content_hash, s, own, CASE WHEN first < 1000 THEN 'bm25' WHEN first < 2000 THEN 'vector' ELSE 'graph' END AS source, row_number() OVER (ORDER BY s DESC, first) AS rank FROM g ORDER BY s DESC, first LIMIT {limit})
+SELECT CASE WHEN m.content_hash IS NULL THEN own ELSE m.content END AS content, m.date, CASE WHEN m.content_hash IS NULL THEN '' ELSE m.mood END AS mood, m.event_time, round(s, 4) AS score, source, f.content_hash, CAST(rank AS INTEGER) AS rank
+FROM fused f LEFT JOIN memories_v m USING (content_hash)"""
+
+
+_VECTOR_LEG = f"""bm AS (SELECT content_hash, row_number() OVER (ORDER BY rank DESC, id) AS p FROM ranked),
+fv AS (SELECT content_hash, {_FAKE} AS embedding FROM memories_v), fq AS (SELECT embedding AS q FROM fv ORDER BY content_hash LIMIT 1),
+vd AS (SELECT content_hash, {_L2} AS dist FROM fv CROSS JOIN fq ORDER BY dist, content_hash LIMIT 30),
+ve AS (SELECT content_hash, row_number() OVER (ORDER BY greatest(0, 1 - dist / 2) DESC, content_hash) AS p FROM vd)"""
+
+
+#: The five best mentioned suppliers are seeds, and hubs: each leads to its 50 heaviest edges only.
+_HYBRID = f"""{_bm25_body(["supplier", "idiot"], "or", 30)},
+{_VECTOR_LEG},
+{_NEAR},
+seed AS (SELECT lower(name) AS node, row_number() OVER (ORDER BY mention_count DESC, id) AS no FROM nodes_v WHERE type = 'ORGANIZATION' ORDER BY mention_count DESC, id LIMIT 5),
+walk AS (SELECT evidence, source_hash, weight, no, p FROM seed JOIN near USING (node) WHERE p <= 30),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY no, p) AS n FROM walk) WHERE n = 1),
+gr AS (SELECT evidence AS content, source_hash AS content_hash, row_number() OVER (ORDER BY weight DESC, no, p) AS p FROM once ORDER BY weight DESC, no, once.p LIMIT 30)"""
+
+
+@query(with_views(_hybrid_sql(_HYBRID, 10), "memories_v", "edges_v", "nodes_v"))
+def hybrid_search(spark, sf_dir):
     t = _tables(spark, sf_dir)
     q = t.vectors.orderBy("content_hash").first().embedding
-    return search.search_memories(t, "who lives in NATION_7", q, limit=10, entities=["NATION_7", "Customer#10"])
+    return search.search_memories(t, "Supplier, idiot!", q, limit=10, mode="or", as_of=MEMORY_DAY)
 
 
 # --- timeline and catalogue ---------------------------------------------------------------------
@@ -229,9 +268,10 @@ def memory_count(spark, sf_dir):
     return _memories(spark, sf_dir).agg(F.count("*").alias("memories"))
 
 
-@query("SELECT min(doc_id) AS id, sha256(text) AS content_hash, count(*) AS saves FROM documents GROUP BY 2")
+@query("SELECT min(doc_id) AS id, sha256(text) AS content_hash FROM documents GROUP BY 2")
 def dedup_by_hash(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("id"), F.count("*").alias("saves"))
+    saves = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return timeline.first_by_hash(saves).select("id", "content_hash")
 
 
 @query(with_views("WITH top AS (SELECT * FROM nodes_v ORDER BY mention_count DESC, name LIMIT 50) SELECT name, type, mention_count, confidence, array_to_string(list_sort(list(alias) FILTER (alias IS NOT NULL)), '|||') AS aliases FROM top LEFT JOIN aliases_v ON lower(canonical) = lower(name) GROUP BY ALL", "nodes_v", "aliases_v"))
@@ -242,8 +282,8 @@ def top_entities_with_aliases(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('năm nay', DATE '2025-01-01', DATE '2025-12-31'), ('tháng 2/2024', DATE '2024-02-01', DATE '2024-02-29'), ('in 2019 x', DATE '2019-01-01', DATE '2019-12-31'), ('năm ngoái', DATE '2024-01-01', DATE '2024-12-31'), ('none', NULL, NULL)) t(q, start, stop)")
 def temporal_range(spark, sf_dir):
-    rows = [(q, *temporal.temporal_range(q, MEMORY_DAY)) for q in ("năm nay", "tháng 2/2024", "in 2019 x", "năm ngoái", "none")]
-    return spark.createDataFrame(rows, "q string, start date, stop date")
+    asked = spark.createDataFrame([(q,) for q in ("năm nay", "tháng 2/2024", "in 2019 x", "năm ngoái", "none")], "q string")
+    return asked.withColumn("r", temporal.temporal_range(F.col("q"), F.lit(MEMORY_DAY))).select("q", "r.start", "r.stop")
 
 
 @query(with_views("SELECT id, date FROM memories_v WHERE date <= DATE '2025-01-15' - 30 ORDER BY date DESC, id DESC LIMIT 50", "memories_v"))
@@ -266,9 +306,10 @@ def node_search_rerank(spark, sf_dir):
     return graph.search_nodes(views.nodes(spark, sf_dir), "10", 30, 0.6).select("name", "mention_count", "match")
 
 
-@query(with_views("SELECT node, count(*) AS degree FROM (SELECT lower(source) AS node FROM places_v UNION ALL SELECT lower(target) FROM places_v WHERE lower(source) <> lower(target)) GROUP BY 1", "places_v"))
+@query(with_views("SELECT node, count(*) AS degree FROM (SELECT lower(source) AS node FROM edges_v UNION ALL SELECT lower(target) FROM edges_v WHERE lower(source) <> lower(target)) GROUP BY 1 HAVING count(*) > 15", "edges_v"))
 def degree(spark, sf_dir):
-    return graph.degrees(views.place_edges(spark, sf_dir))
+    """The hubs, from which walks go one step only."""
+    return graph.degrees(views.edges(spark, sf_dir)).where(F.col("degree") > graph.HUB_DEGREE)
 
 
 @query(with_views("SELECT node, count(*) AS degree FROM (SELECT lower(source) AS node FROM edges_v UNION ALL SELECT lower(target) FROM edges_v) GROUP BY 1", "edges_v"))
@@ -294,41 +335,57 @@ def resolve_names(spark, sf_dir):
 _ADJ = "adj AS (SELECT lower(source) AS node, lower(target) AS other FROM {v} UNION SELECT lower(target), lower(source) FROM {v})"
 
 
-@query(with_views(f"""WITH {_ADJ.format(v='places_v')}, b AS (SELECT 'customer#10' AS node, 0 AS depth UNION SELECT other, depth + 1 FROM b JOIN adj USING (node) WHERE depth < 3)
-SELECT node, min(depth) AS depth FROM b GROUP BY 1""", "places_v", recursive=True))
+@query(with_views(f"""WITH {_ADJ.format(v='edges_v')}, b AS (SELECT 'customer#10' AS node, 0 AS depth UNION SELECT other, depth + 1 FROM b JOIN adj USING (node) WHERE depth < 3)
+SELECT node, min(depth) AS depth FROM b GROUP BY 1""", "edges_v", recursive=True))
 def k_hop(spark, sf_dir):
     seeds = spark.createDataFrame([("customer#10",)], "node string")
-    return graph.k_hop(views.place_edges(spark, sf_dir), seeds, 3)
+    return graph.k_hop(views.edges(spark, sf_dir), seeds, 3)
 
 
-@query()
+@query(with_views(f"WITH {_NEAR} SELECT source, target, rel_type FROM near WHERE node = 'supplier#1' AND p <= 20", "edges_v"))
 def traverse_hub_cap(spark, sf_dir):
-    t = graph.traverse(views.place_edges(spark, sf_dir), views.aliases(spark, sf_dir), "NATION_7", 2, 20)
+    t = graph.traverse(views.edges(spark, sf_dir), views.aliases(spark, sf_dir), "Supplier#1", 2, 20)
     return spark.createDataFrame([(e.source, e.target, e.rel_type) for e in t.edges], "source string, target string, rel_type string")
 
 
-@query(with_views(f"""WITH {_ADJ.format(v='places_v')}, b AS (SELECT 'supplier#1' AS node, 0 AS depth UNION SELECT other, depth + 1 FROM b JOIN adj USING (node) WHERE depth < 6)
-SELECT node, min(depth) AS depth FROM b GROUP BY 1""", "places_v", recursive=True))
+_CURRENT = "e AS (SELECT * FROM edges_v WHERE valid_until IS NULL)"
+
+
+@query(with_views(f"""WITH {_CURRENT}, {_ADJ.format(v='e')}, b AS (SELECT 'supplier#1' AS node, 0 AS depth UNION SELECT other, depth + 1 FROM b JOIN adj USING (node) WHERE depth < 8)
+SELECT node, min(depth) AS depth FROM b GROUP BY 1""", "edges_v", recursive=True))
 def shortest_path_len(spark, sf_dir):
-    return graph.shortest_path_lengths(views.place_edges(spark, sf_dir), "Supplier#1", 6)
+    return graph.shortest_path_lengths(views.edges(spark, sf_dir), "Supplier#1")
 
 
-@query(with_views("""WITH adj AS (SELECT lower(source) AS node, lower(target) AS other, target AS spelling, id FROM places_v UNION ALL SELECT lower(target), lower(source), source, id FROM places_v),
-walk AS (SELECT 'customer#1' AS node, ['Customer#1'] AS names, ['customer#1'] AS seen, '' AS way, 0 AS d
-  UNION ALL SELECT other, list_append(names, spelling), list_append(seen, other), way || chr(1) || id, d + 1 FROM walk JOIN adj USING (node) WHERE d < 4 AND NOT list_contains(seen, other)),
-best AS (SELECT names FROM walk WHERE node = 'customer#11' ORDER BY d, way LIMIT 1)
-SELECT unnest(range(0, len(names))) AS place, unnest(names) AS name FROM best""", "places_v", recursive=True))
+def _path_sql(source: str, target: str, levels: int) -> str:
+    """Breadth first by levels; each node keeps the way that comes first."""
+    steps, seen = [f"l0 AS (SELECT '{source.lower()}' AS node, ['{source}'] AS names, '' AS way)"], []
+    for i in range(1, levels + 1):
+        seen.append(f"SELECT node FROM l{i - 1}")
+        steps.append(f"l{i} AS (SELECT other AS node, arg_min(list_append(names, spelling), way || chr(1) || id) AS names, min(way || chr(1) || id) AS way FROM l{i - 1} JOIN adj USING (node) WHERE other NOT IN ({' UNION ALL '.join(seen)}) GROUP BY other)")
+    found = " UNION ALL ".join(f"SELECT names, {i} AS d FROM l{i} WHERE node = '{target.lower()}'" for i in range(1, levels + 1))
+    return f"""WITH {_CURRENT}, adj AS (SELECT lower(source) AS node, lower(target) AS other, target AS spelling, id FROM e UNION ALL SELECT lower(target), lower(source), source, id FROM e),
+{", ".join(steps)}, best AS (SELECT names FROM ({found}) ORDER BY d LIMIT 1) SELECT unnest(range(0, len(names))) AS place, unnest(names) AS name FROM best"""
+
+
+@query(with_views(_path_sql("Customer#1", "Customer#11", 4), "edges_v"))
 def shortest_path(spark, sf_dir):
-    path = graph.find_path(views.place_edges(spark, sf_dir), "Customer#1", "Customer#11")
+    path = graph.find_path(views.edges(spark, sf_dir), "Customer#1", "Customer#11")
     return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place long, name string")
 
 
-def _ppr_sql(view: str) -> str:
+@query(with_views(_path_sql("Customer#1", "MIDDLE EAST", 4).rsplit("SELECT unnest", 1)[0] + "SELECT count(*) > 0 AS connected, max(len(names)) AS names FROM best", "edges_v"))
+def explain_connection(spark, sf_dir):
+    found = search.explain_connection(_tables(spark, sf_dir), "Customer#1", "MIDDLE EAST")
+    return spark.createDataFrame([(found["connected"], len(found["paths"][0]) if found["paths"] else None)], "connected boolean, names long")
+
+
+def _ppr_sql(view: str, seeds: list[str] = SEEDS) -> str:
+    names = ", ".join(f"'{s.lower()}'" for s in seeds)
     steps = ", ".join(
         f"s{i} AS (SELECT n.node, (CASE WHEN n.node IN (SELECT node FROM seed) THEN 0.15 / (SELECT count(*) FROM seed) ELSE 0 END) + 0.85 * coalesce(sum(p.score * a.w / o.out), 0) AS score FROM o n LEFT JOIN both_ways a ON a.other = n.node LEFT JOIN s{i - 1} p ON p.node = a.node LEFT JOIN o ON o.node = a.node GROUP BY n.node)"
         for i in range(1, 11)
     )
-    names = ", ".join(f"'{s.lower()}'" for s in SEEDS)
     return f"""WITH kept AS (SELECT lower(source) AS s, lower(target) AS t, CASE WHEN coalesce(weight, 0) = 0 THEN 1.0 ELSE weight END AS w FROM {view} WHERE valid_until IS NULL),
 both_ways AS (SELECT s AS node, t AS other, w FROM kept UNION ALL SELECT t, s, w FROM kept), o AS (SELECT node, sum(w) AS out FROM both_ways GROUP BY 1),
 seed AS (SELECT node FROM o WHERE node IN ({names})), s0 AS (SELECT node, 1.0 / (SELECT count(*) FROM o) AS score FROM o), {steps}"""
@@ -340,10 +397,14 @@ def ppr_scores(spark, sf_dir):
     return found.select("node", F.round("score", 9).alias("score"))
 
 
-@query(with_views(_ppr_sql("edges_v") + """, top AS (SELECT node, score FROM s10 ORDER BY round(score, 12) DESC, node LIMIT 40),
+def _best(nodes: int) -> str:
+    return f"""top AS (SELECT node, score FROM s10 ORDER BY round(score, 12) DESC, node LIMIT {nodes}),
 adj AS (SELECT lower(source) AS node, * FROM edges_v WHERE valid_until IS NULL UNION ALL SELECT lower(target), * FROM edges_v WHERE valid_until IS NULL AND lower(source) <> lower(target)),
-near AS (SELECT top.node, score, id, source_hash, (CASE WHEN coalesce(weight, 0) = 0 THEN 1.0 ELSE weight END) * score AS value FROM top JOIN adj USING (node)),
-first AS (SELECT *, row_number() OVER (PARTITION BY source_hash, node ORDER BY id) AS n FROM near)
+near AS (SELECT top.node, score, id, evidence, source_hash, (CASE WHEN coalesce(weight, 0) = 0 THEN 1.0 ELSE weight END) * score AS value FROM top JOIN adj USING (node)),
+first AS (SELECT *, row_number() OVER (PARTITION BY source_hash, node ORDER BY id) AS n FROM near)"""
+
+
+@query(with_views(_ppr_sql("edges_v") + f""", {_best(40)}
 SELECT source_hash AS content_hash, round(sum(value), 9) AS score FROM first WHERE n = 1 GROUP BY 1 ORDER BY round(sum(value), 12) DESC, 1 LIMIT 20""", "edges_v"))
 def ppr_memories(spark, sf_dir):
     e = views.edges(spark, sf_dir)
@@ -351,49 +412,78 @@ def ppr_memories(spark, sf_dir):
     return found.select("content_hash", F.round("score", 9).alias("score"))
 
 
-#: One edge from the customer, then those of its nation in order, the customer's other name having none.
-@query(with_views("""WITH own AS (SELECT 0 AS level, id, source, target, rel_type FROM places_v WHERE lower(source) = 'customer#10' OR lower(target) = 'customer#10'),
-near AS (SELECT 1 AS level, p.id, p.source, p.target, p.rel_type FROM places_v p JOIN own o ON lower(p.source) = lower(o.target) OR lower(p.target) = lower(o.target) ORDER BY p.id LIMIT 50)
-SELECT source, target, rel_type AS type FROM (SELECT * FROM own UNION ALL SELECT * FROM near WHERE id NOT IN (SELECT id FROM own)) ORDER BY level, id LIMIT 10""", "places_v"))
+#: Entity mode: the text leg finds no such phrase, the vector leg has no contents yet, so PageRank decides.
+@query(with_views(_ppr_sql("edges_v", ["AFRICA", "MIDDLE EAST"]) + f""", {_best(60)},
+bm AS (SELECT '' AS content_hash, 0 AS p WHERE false), ve AS (SELECT '' AS content_hash, 0 AS p WHERE false),
+gr AS (SELECT content, content_hash, row_number() OVER (ORDER BY round(score, 12) DESC, content_hash) AS p FROM (SELECT arg_min(evidence, (-score, node, id)) AS content, source_hash AS content_hash, sum(value) AS score FROM first WHERE n = 1 GROUP BY 2 ORDER BY round(sum(value), 12) DESC, 2 LIMIT 30))""" + _hybrid_sql("", 10), "edges_v", "memories_v"))
+def hybrid_search_entities(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    q = t.vectors.orderBy("content_hash").first().embedding
+    return search.search_memories(t, "who sells to Customer#1", q, limit=10, entities=["AFRICA", "Middle East"])
+
+
+#: A hub: its ten heaviest current edges.
+@query(with_views(f"WITH {_NEAR} SELECT source, target, rel_type AS type FROM near WHERE node = 'customer#10' AND p <= 10", "edges_v"))
 def recall_entity(spark, sf_dir):
     found = search.recall_entity(_tables(spark, sf_dir), "Customer#10")
     return spark.createDataFrame([(r["source"], r["target"], r["type"]) for r in found["relationships"]], "source string, target string, type string")
 
 
-@query()
+@query(with_views(f"""WITH {_NEAR}, walk AS (SELECT *, CASE node WHEN 'customer#10' THEN 0 ELSE 1 END AS leg FROM near WHERE node IN ('customer#10', 'supplier#1') AND p <= 20),
+once AS (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY weight DESC, leg, p) AS n FROM walk)
+SELECT source, target, rel_type AS type, evidence FROM once WHERE n = 1 ORDER BY weight DESC, leg, p LIMIT 15""", "edges_v"))
 def graph_context(spark, sf_dir):
-    found = search.graph_context(_tables(spark, sf_dir), ["Customer#10", "EUROPE"], [], 5)
-    return spark.createDataFrame([(e["source"], e["target"], e["type"], e["weight"]) for e in found["evidence"]], "source string, target string, type string, weight double")
-
+    found = search.graph_context(_tables(spark, sf_dir), ["Customer#10", "Supplier#1"], [], 5)
+    return spark.createDataFrame([(e["source"], e["target"], e["type"], e["evidence"]) for e in found["evidence"]], "source string, target string, type string, evidence string")
 
 
-def _local_edges(spark, sf_dir):
-    """Without regions each nation with its people is a component."""
-    return views.place_edges(spark, sf_dir).where("rel_type <> 'PART_OF'")
+def _labels_sql(edges: str, rounds: int = 10) -> str:
+    """The smallest name within ``2 ** rounds`` steps (rounds jump along labels), for components of any shape up to that size."""
+    steps = ", ".join(
+        f"""n{i} AS (SELECT p.node, least(p.label, coalesce(min(q.label), p.label)) AS label FROM p{i - 1} p LEFT JOIN ba ON ba.node = p.node LEFT JOIN p{i - 1} q ON q.node = ba.other GROUP BY p.node, p.label),
+p{i} AS (SELECT n.node, least(n.label, coalesce(j.label, n.label)) AS label FROM n{i} n LEFT JOIN n{i} j ON j.node = n.label)"""
+        for i in range(1, rounds + 1)
+    )
+    return f"""be AS ({edges}), ba AS (SELECT DISTINCT lower(source) AS node, lower(target) AS other FROM be UNION SELECT lower(target), lower(source) FROM be),
+p0 AS (SELECT DISTINCT node, node AS label FROM ba), {steps},
+comp AS (SELECT lower(name) AS member, name, type, coalesce(label, lower(name)) AS component FROM nodes_v LEFT JOIN p{rounds} ON node = lower(name))"""
 
 
-_NATION = """loc AS (SELECT * FROM places_v WHERE rel_type <> 'PART_OF'), grp AS (SELECT lower(target) AS nation, lower(source) AS member FROM loc UNION SELECT lower(target), lower(target) FROM loc),
-label AS (SELECT nation, min(member) AS component FROM grp GROUP BY 1), inside AS (SELECT member, component FROM grp JOIN label USING (nation)),
-comp AS (SELECT lower(name) AS member, name, type, coalesce(component, lower(name)) AS component FROM nodes_v LEFT JOIN inside ON inside.member = lower(name))"""
+_COMP = _labels_sql("SELECT source, target FROM edges_v WHERE valid_until IS NULL")
 
 
-@query(with_views(f"WITH {_NATION} SELECT member, component FROM comp", "places_v", "nodes_v"))
+@query(with_views(f"WITH {_COMP} SELECT member, component FROM comp", "edges_v", "nodes_v"))
 def components(spark, sf_dir):
-    return communities.memberships(views.nodes(spark, sf_dir), _local_edges(spark, sf_dir)).select("member", "component")
+    return communities.memberships(views.nodes(spark, sf_dir), views.edges(spark, sf_dir)).select("member", "component")
+
+
+#: Customers in chains of 40, every other one closed to a cycle, some with a loop; the rest stays alone.
+_CHAINS = """SELECT 'Customer#' || c_custkey AS source, 'Customer#' || CASE WHEN c_custkey % 40 <> 0 THEN c_custkey + 1 ELSE c_custkey - 39 END AS target FROM customer
+WHERE c_custkey > 0 AND c_custkey % 7 <> 3 AND (c_custkey % 40 <> 0 OR c_custkey % 80 = 0) UNION ALL SELECT 'Customer#' || c_custkey, 'CUSTOMER#' || c_custkey FROM customer WHERE c_custkey % 11 = 0"""
+
+
+@query(with_views(f"WITH {_labels_sql(_CHAINS)}, every AS (SELECT lower(name) AS member FROM nodes_v UNION SELECT node FROM p10) SELECT member, coalesce(label, member) AS component FROM every LEFT JOIN p10 ON node = member", "nodes_v"))
+def component_chains(spark, sf_dir):
+    key, name = F.col("c_custkey"), lambda k, word="Customer#": F.concat(F.lit(word), k.cast("string"))
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey")
+    chain = customer.where((key > 0) & (key % 7 != 3) & ((key % 40 != 0) | (key % 80 == 0))).select(name(key).alias("source"), name(F.when(key % 40 != 0, key + 1).otherwise(key - 39)).alias("target"))
+    loops = customer.where(key % 11 == 0).select(name(key).alias("source"), name(key, "CUSTOMER#").alias("target"))
+    edges = chain.union(loops).withColumn("valid_until", F.lit(None).cast("date"))
+    return communities.memberships(views.nodes(spark, sf_dir), edges).select("member", "component")
 
 
-@query(with_views(f"""WITH {_NATION}, size AS (SELECT component, count(*) AS entity_count FROM comp GROUP BY 1),
+@query(with_views(f"""WITH {_COMP}, size AS (SELECT component, count(*) AS entity_count FROM comp GROUP BY 1),
 kinds AS (SELECT component, type, count(*) AS n FROM comp GROUP BY 1, 2), best AS (SELECT component, type AS label, row_number() OVER (PARTITION BY component ORDER BY n DESC, type) AS r FROM kinds),
-e AS (SELECT component, count(*) AS edge_count FROM (SELECT DISTINCT least(lower(source), lower(target)) AS a, greatest(lower(source), lower(target)) AS b FROM loc) JOIN comp ON a = member GROUP BY 1)
-SELECT component, label, entity_count, coalesce(edge_count, 0) AS edge_count FROM size JOIN best USING (component) LEFT JOIN e USING (component) WHERE r = 1""", "places_v", "nodes_v"))
+x AS (SELECT component, count(*) AS edge_count FROM (SELECT DISTINCT least(lower(source), lower(target)) AS a, greatest(lower(source), lower(target)) AS b FROM be) JOIN comp ON a = member GROUP BY 1)
+SELECT component, label, entity_count, coalesce(edge_count, 0) AS edge_count FROM size JOIN best USING (component) LEFT JOIN x USING (component) WHERE r = 1""", "edges_v", "nodes_v"))
 def component_labels(spark, sf_dir):
-    return communities.communities(views.nodes(spark, sf_dir), _local_edges(spark, sf_dir)).select("component", "label", "entity_count", "edge_count")
+    return communities.communities(views.nodes(spark, sf_dir), views.edges(spark, sf_dir)).select("component", "label", "entity_count", "edge_count")
 
 
-@query(with_views(f"""WITH {_NATION}, size AS (SELECT component, count(*) AS n, min(member) AS f FROM comp GROUP BY 1),
-num AS (SELECT component, row_number() OVER (ORDER BY n DESC, f, component) - 1 AS cluster_id FROM size) SELECT cluster_id, name AS entity_name FROM comp JOIN num USING (component)""", "places_v", "nodes_v"))
+@query(with_views(f"""WITH {_COMP}, size AS (SELECT component, count(*) AS n, min(member) AS f FROM comp GROUP BY 1),
+num AS (SELECT component, row_number() OVER (ORDER BY n DESC, f, component) - 1 AS cluster_id FROM size) SELECT cluster_id, name AS entity_name FROM comp JOIN num USING (component)""", "edges_v", "nodes_v"))
 def cluster_members(spark, sf_dir):
-    return communities.cluster_table(views.nodes(spark, sf_dir), _local_edges(spark, sf_dir)).select("cluster_id", "entity_name")
+    return communities.cluster_table(views.nodes(spark, sf_dir), views.edges(spark, sf_dir)).select("cluster_id", "entity_name")
 
 
 @query(with_views("WITH per AS (SELECT lower(canonical) AS c, list_sort(list(alias)) AS aliases FROM aliases_v GROUP BY 1) SELECT name, type, mention_count, first_seen, last_seen, confidence, coalesce(array_to_string(aliases, ','), '') AS aliases FROM nodes_v LEFT JOIN per ON c = lower(name)", "nodes_v", "aliases_v"))
@@ -413,14 +503,13 @@ def drawn_nodes(spark, sf_dir):
 
 # --- entity resolution --------------------------------------------------------------------------
 
-_NAMED = "nv AS (SELECT name, mention_count, list_transform(range(0, 64), lambda i: (CAST('0x' || sha256(name)[i % 64 + 1] AS INTEGER) - 8) / 8.0) AS e FROM names_v)"
 _PAIR = "a.mention_count > b.mention_count OR (a.mention_count = b.mention_count AND a.name < b.name)"
 _RATIO = "least(length(trim(a.name)), length(trim(b.name))) / greatest(length(trim(a.name)), length(trim(b.name)))"
-_PCOS = "list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))"
+_PCOS = "list_sum(list_transform(range(1, 27), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))"
 
 
 def _names(spark, sf_dir):
-    return views.names(spark, sf_dir).withColumn("embedding", similarity.fake_embedding("name", 64))
+    return views.names(spark, sf_dir)
 
 
 @query(with_views(f"SELECT a.name AS source, b.name AS target, round({_RATIO}, 6) AS ratio FROM names_v a JOIN names_v b ON ({_PAIR}) AND {_RATIO} >= 0.6", "names_v"))
@@ -429,15 +518,15 @@ def name_length_band(spark, sf_dir):
     return p.select("source", "target", F.round(similarity.length_ratio(F.col("source"), F.col("target")), 6).alias("ratio"))
 
 
-@query(with_views(f"WITH {_NAMED} SELECT a.name AS source, b.name AS target, round({_PCOS}, 6) AS vector_sim FROM nv a JOIN nv b ON ({_PAIR}) AND {_RATIO} >= 0.33 WHERE {_PCOS} >= 0.2", "names_v"))
+@query(with_views(f"SELECT a.name AS source, b.name AS target, round({_PCOS}, 6) AS vector_sim FROM names_v a JOIN names_v b ON ({_PAIR}) AND {_RATIO} >= 0.33 WHERE round({_PCOS}, 9) >= 0.9", "names_v"))
 def cosine_pairs(spark, sf_dir):
-    p = resolve.pair_blocks(_names(spark, sf_dir)).withColumn("vector_sim", similarity.cosine(F.col("__va"), F.col("__vb")))
-    return p.where("vector_sim >= 0.2").select("source", "target", F.round("vector_sim", 6).alias("vector_sim"))
+    p = resolve.pair_blocks(_names(spark, sf_dir)).withColumn("vector_sim", similarity.unit_cosine(F.col("__va"), F.col("__vb")))
+    return p.where("round(vector_sim, 9) >= 0.9").select("source", "target", F.round("vector_sim", 6).alias("vector_sim"))
 
 
 @query()
 def dedup_scan(spark, sf_dir):
-    found = resolve.scan_all(_names(spark, sf_dir), vec_auto=0.4, name_auto=0.6, vec_candidate=0.25)
+    found = resolve.scan_all(_names(spark, sf_dir))
     return found.select("source", "target", F.round("vector_sim", 4).alias("vector_sim"), F.round("name_sim", 4).alias("name_sim"), "decision")
 
 
@@ -447,10 +536,10 @@ def jaro_winkler(spark, sf_dir):
     return p.select("source", "target", F.round(similarity.jaro_winkler_udf("source", "target"), 6).alias("name_sim"))
 
 
-@query(with_views("""WITH m AS (SELECT id, CASE WHEN lower(source) = 'nation_7' THEN 'NATION_8' ELSE source END AS source, CASE WHEN lower(target) = 'nation_7' THEN 'NATION_8' ELSE target END AS target, rel_type FROM places_v)
-SELECT source, target, rel_type FROM (SELECT *, row_number() OVER (PARTITION BY source, target, rel_type ORDER BY id) AS r FROM m WHERE lower(source) <> lower(target)) WHERE r = 1""", "places_v"))
+@query(with_views("""WITH m AS (SELECT id, CASE WHEN lower(source) = 'nation_7' THEN 'NATION_8' ELSE source END AS source, CASE WHEN lower(target) = 'nation_7' THEN 'NATION_8' ELSE target END AS target, rel_type FROM edges_v)
+SELECT source, target, rel_type FROM (SELECT *, row_number() OVER (PARTITION BY source, target, rel_type ORDER BY id) AS r FROM m WHERE lower(source) <> lower(target)) WHERE r = 1""", "edges_v"))
 def merge_edges(spark, sf_dir):
-    return resolve.merge_edges(views.place_edges(spark, sf_dir), "nation_7", "NATION_8").select("source", "target", "rel_type")
+    return resolve.merge_edges(views.edges(spark, sf_dir), "nation_7", "NATION_8").select("source", "target", "rel_type")
 
 
 @query(with_views("SELECT name, type, mention_count + CASE WHEN name = 'NATION_8' THEN (SELECT mention_count FROM nodes_v WHERE name = 'NATION_7') ELSE 0 END AS mention_count FROM nodes_v WHERE name <> 'NATION_7'", "nodes_v"))
@@ -474,9 +563,9 @@ def upsert_edges_fold(spark, sf_dir):
     return e.drop("assertions").withColumn("weight", F.round(F.col("weight") + 1e-9, 6))
 
 
-@query(with_views("SELECT id, CASE WHEN lower(target) = 'nation_7' AND lower(rel_type) = 'lives_in' THEN DATE '1999-01-01' ELSE NULL END AS valid_until FROM places_v", "places_v"))
+@query(with_views("SELECT id, CASE WHEN lower(target) = 'nation_7' AND lower(rel_type) = 'lives_in' THEN DATE '1999-01-01' ELSE valid_until END AS valid_until FROM edges_v", "edges_v"))
 def invalidate_edges(spark, sf_dir):
-    changed, _ = history.invalidate_edges(views.place_edges(spark, sf_dir), AS_OF, target="nation_7", rel_type="lives_in")
+    changed, _ = history.invalidate_edges(views.edges(spark, sf_dir), AS_OF, target="nation_7", rel_type="lives_in")
     return changed.select("id", "valid_until")
 
 
@@ -493,11 +582,11 @@ def confidence_decay(spark, sf_dir):
     return history.decay(views.edges(spark, sf_dir), AS_OF, 365)
 
 
-@query(with_views(f"WITH {_NATION}, changed AS ({_DECAY}) SELECT (SELECT count(*) FROM changed) AS edges_decayed, (SELECT count(*) FROM (SELECT id FROM memories_v WHERE date <= DATE '2025-01-15' - 30 ORDER BY date DESC, id DESC LIMIT 50)) AS stale_count, (SELECT count(DISTINCT component) FROM comp) AS cluster_count, (SELECT count(*) FROM comp) AS total_entities", "memories_v", "edges_v", "places_v", "nodes_v"))
+@query(with_views(f"WITH {_COMP}, changed AS ({_DECAY}) SELECT (SELECT count(*) FROM changed) AS edges_decayed, (SELECT count(*) FROM (SELECT id FROM memories_v WHERE date <= DATE '2025-01-15' - 30 ORDER BY date DESC, id DESC LIMIT 50)) AS stale_count, (SELECT count(DISTINCT component) FROM comp) AS cluster_count, (SELECT count(*) FROM comp) AS total_entities", "memories_v", "edges_v", "nodes_v"))
 def consolidate_report(spark, sf_dir):
     decayed = history.decay(views.edges(spark, sf_dir), AS_OF, 365).agg(F.count("*").alias("edges_decayed"))
     old = timeline.stale(_memories(spark, sf_dir), MEMORY_DAY).agg(F.count("*").alias("stale_count"))
-    found = communities.communities(views.nodes(spark, sf_dir), _local_edges(spark, sf_dir))
+    found = communities.communities(views.nodes(spark, sf_dir), views.edges(spark, sf_dir))
     groups = found.agg(F.count("*").alias("cluster_count"), F.sum("entity_count").alias("total_entities"))
     return decayed.join(old, F.lit(True)).join(groups, F.lit(True))  # three single rows
 

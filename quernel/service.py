@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.embedding import Embedder, FakeEmbedder, with_embedding
+from quernel.functions.embedding import HashVectors, vector_of, with_embedding
 from quernel.functions.text import nocase
 from quernel.operators import communities, graph, resolve, search, temporal, timeline
 from quernel.sources.store import Store, parse_entities, parse_relations
@@ -22,10 +22,10 @@ ZONE = timezone(timedelta(hours=7))
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, vectors_of=None) -> None:
         ship(spark)
         self.spark, self.store = spark, Store(spark, path)
-        self.embedder = embedder or FakeEmbedder(128)
+        self.vectors_of = vectors_of or HashVectors(128)
 
     # --- writes ---------------------------------------------------------------------------------
 
@@ -45,7 +45,7 @@ class Engine:
         fresh = timeline.first_by_hash(new.join(old.select("content_hash"), "content_hash", "left_anti").select(old.columns))
         self.store.write("memories", old.unionByName(fresh))
         vectors = self.store.read("vectors")
-        added = with_embedding(fresh.select("content_hash", "content"), "content", self.embedder).select("content_hash", "embedding")
+        added = with_embedding(fresh.select("content_hash", "content"), "content", self.vectors_of).select("content_hash", "embedding")
         self.store.write("vectors", vectors.join(added.select("content_hash"), "content_hash", "left_anti").unionByName(added))
 
     def save_memory(self, text: str, mood: str | None = None, tags: list[str] | None = None, event_time: date | None = None, now: datetime | None = None) -> dict:
@@ -66,9 +66,9 @@ class Engine:
         t = self.store.tables()
         names = [x.name for x in e.select("name").distinct().collect()]
         merged, candidates = [], []
-        vectors = with_embedding(t["nodes"].select("name", "mention_count"), "name", self.embedder)
+        vectors = with_embedding(t["nodes"].select("name", "mention_count"), "name", self.vectors_of)
         for name in names:
-            for c in resolve.find_similar(vectors, name, self.embedder.embed(name)).orderBy("target").collect():
+            for c in resolve.find_similar(vectors, name, vector_of(self.spark, name, self.vectors_of)).orderBy("target").collect():
                 item = {"source": c.source, "target": c.target, "vector_sim": round(c.vector_sim, 4), "name_sim": round(c.name_sim, 4)}
                 if c.decision == "auto" and self._merge(c.source, c.target, now, "auto", c.vector_sim, c.name_sim)["status"] == "merged":
                     merged.append(item)
@@ -126,7 +126,7 @@ class Engine:
 
     def dedup_scan(self, auto_merge: bool = False, now: datetime | None = None) -> dict:
         """All pairs that may be the same; with ``auto_merge`` sure ones are merged one after the other."""
-        names = with_embedding(self.store.read("nodes").select("name", "mention_count"), "name", self.embedder)
+        names = with_embedding(self.store.read("nodes").select("name", "mention_count"), "name", self.vectors_of)
         found = resolve.scan_all(names).orderBy(F.desc("vector_sim"), "source", "target").collect()
         as_item = lambda c: {"source": c.source, "target": c.target, "vector_sim": round(c.vector_sim, 4), "name_sim": round(c.name_sim, 4)}
         merged = [as_item(c) for c in found if auto_merge and c.decision == "auto" and self._merge(c.source, c.target, now or datetime.now(ZONE), "auto", c.vector_sim, c.name_sim)["status"] == "merged"]
@@ -142,7 +142,7 @@ class Engine:
     def search_memories(self, query: str, limit: int = 10, date_from: date | None = None, date_to: date | None = None, entities: list[str] | None = None, include_historical: bool = False, now: datetime | None = None) -> dict:
         t = self._tables()
         as_of = (now or datetime.now(ZONE)).astimezone(ZONE).date()
-        rows = search.search_memories(t, query, self.embedder.embed(query), limit, date_from, date_to, entities, include_historical, as_of).collect()
+        rows = search.search_memories(t, query, vector_of(self.spark, query, self.vectors_of), limit, date_from, date_to, entities, include_historical, as_of).collect()
         results = [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows]
         out = {"query": query, "entities_used": entities or [], "count": len(results), "results": results}
         if entities:

@@ -8,18 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.workspace import read_table
+from quernel.workspace import kept, read_table, staged_path
 
 DAY0 = "2024-01-01"
 ORDER_KEY = ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "x", "l_tax", "l_shipdate"]
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories, one per content hash (the smallest id wins)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    """Documents as memories, one per content hash (the smallest id wins); a table of the store, filled once."""
+    return kept(spark, f"{sf_dir}/memories", lambda: _memories(spark, sf_dir))
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only hashes and ids are grouped; texts are read again, without those that came later."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("content_hash", F.sha2("text", 256))
     day = F.date_add(F.lit(DAY0).cast("date"), (F.col("doc_id") % 365).cast("int"))
-    first = docs.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min_by(F.struct("doc_id", "text", "lang", "source"), "doc_id").alias("d"))
-    return first.select(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("d.lang").alias("lang"), F.col("d.source").alias("source"), "content_hash").select(
+    repeated = docs.groupBy("content_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = docs.select("content_hash", "doc_id").join(repeated, "content_hash").where("doc_id <> first").select("doc_id")
+    return docs.join(later, "doc_id", "left_anti").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         day.alias("date"),
@@ -31,6 +37,21 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the stored full-text index of the memories is; built with the first search of an application."""
+    from quernel.operators.text_search import write_index
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = staged_path(spark, "text-index")
+        write_index(memories(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read_table(spark, sf_dir, "embeddings")
     return raw.select("vec_id", F.sha2(F.col("vec_id").cast("string"), 256).alias("content_hash"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -66,12 +87,17 @@ def static_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Static edges and the folded purchases, with validity. ``id`` is the edge's own key."""
+    """Static edges and the folded purchases, with validity; a table of the store, filled once. ``id`` is the edge's own key."""
+    return kept(spark, f"{sf_dir}/edges", lambda: _edges(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.operators.temporal import fold_edges
 
     bought = fold_edges(assertions(spark, sf_dir).withColumnRenamed("x", "weight"), extra={"status": F.max_by("o_orderstatus", "seq")})
     until = F.when(F.col("status") == "F", F.date_add("last_reinforced", 90))
-    bought = bought.select("source", "target", "rel_type", "weight", "evidence", "source_hash", "event_time", "valid_from", until.alias("valid_until"), "last_reinforced")
+    # Rounded, so that the order of additions doesn't decide between equal weights.
+    bought = bought.select("source", "target", "rel_type", F.round(F.col("weight") + 1e-12, 9).alias("weight"), "evidence", "source_hash", "event_time", "valid_from", until.alias("valid_until"), "last_reinforced")
     fixed = static_edges(spark, sf_dir).select(
         "source", "target", "rel_type", "weight", F.concat_ws(" ", "source", "rel_type", "target").alias("evidence"), F.sha2(F.concat("source", "target"), 256).alias("source_hash"),
         F.lit(None).cast("date").alias("event_time"), F.lit(DAY0).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_until"), F.lit(None).cast("date").alias("last_reinforced"),
@@ -115,8 +141,10 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names with how many parts bear them."""
-    return read_table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("mention_count"))
+    """Distinct names of parts with their brands, how many parts bear them, and a vector of their letters' counts."""
+    named = read_table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.count("*").alias("mention_count"))
+    low, letters = F.lower("name"), F.split(F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z"), " ")
+    return named.withColumn("embedding", F.transform(letters, lambda x: (F.length(low) - F.length(F.replace(low, x, F.lit("")))).cast("double")))
 
 
 #: The same views as DuckDB SQL, by name; each may name earlier ones.
@@ -139,7 +167,7 @@ SQL = {
   UNION ALL SELECT 'Supplier#' || s_suppkey, n_name, 'LOCATED_IN', 0.5 FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, r_name, 'PART_OF', 0.5 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "edges_v": f"""SELECT *, source || '|' || target || '|' || rel_type AS id FROM (
-  SELECT source, target, rel_type, weight, evidence, source_hash, event_time, valid_from, CASE WHEN status = 'F' THEN last_reinforced + 90 END AS valid_until, last_reinforced FROM folded_v
+  SELECT source, target, rel_type, round(weight + 1e-12, 9) AS weight, evidence, source_hash, event_time, valid_from, CASE WHEN status = 'F' THEN last_reinforced + 90 END AS valid_until, last_reinforced FROM folded_v
   UNION ALL SELECT source, target, rel_type, weight, source || ' ' || rel_type || ' ' || target, sha256(source || target), NULL, DATE '{DAY0}', NULL, NULL FROM static_v)""",
     "places_v": "SELECT source || '|' || target || '|' || rel_type AS id, *, sha256(source || target) AS source_hash, source || ' ' || rel_type || ' ' || target AS evidence FROM static_v",
     "nodes_v": """SELECT 0 * 1000000000000 + c_custkey AS id, 'Customer#' || c_custkey AS name, 'PERSON' AS type, coalesce(n, 0) AS mention_count, a AS first_seen, b AS last_seen, 0.5 + CAST(c_custkey % 50 AS DOUBLE) / 100 AS confidence
@@ -149,7 +177,8 @@ SQL = {
   UNION ALL SELECT 3 * 1000000000000 + r_regionkey, r_name, 'REGION', 5, NULL, NULL, 1.0 FROM region""",
     "aliases_v": """SELECT lower(n_name) AS alias, r_name AS canonical FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'c' || c_custkey, 'Customer#' || c_custkey FROM customer WHERE c_custkey % 10 = 0""",
-    "names_v": "SELECT p_name AS name, count(*) AS mention_count FROM part GROUP BY 1",
+    "names_v": """SELECT *, list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda x: CAST(length(name) - length(replace(lower(name), x, '')) AS DOUBLE)) AS e
+  FROM (SELECT p_name || ' ' || p_brand AS name, count(*) AS mention_count FROM part GROUP BY 1)""",
 }
 _NEEDS = {"folded_v": ["assertions_v"], "edges_v": ["assertions_v", "folded_v", "static_v"], "places_v": ["static_v"]}
 

@@ -55,6 +55,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """A table that an application makes once and then reads: ``make()``, written to the shared folder."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
+        made = make()
+        path = staged_path(spark, "kept")
+        made.write.parquet(path)
+        _KEPT[key] = path, made.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession

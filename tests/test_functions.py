@@ -1,7 +1,9 @@
 """Scalar functions: folds, tokens, similarity, time. Values by hand."""
 
+import json
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,25 +65,55 @@ def test_jaro_and_winkler():
 
 def test_fake_embedding(spark):
     got = one(spark, similarity.fake_embedding(F.lit("hello"), 128))
-    assert got == embedding.FakeEmbedder(128).embed("hello") and len(got) == 128 and all(-1 <= x <= 1 for x in got)
-    with pytest.raises(ValueError):
-        embedding.make_embedder("nothing")
+    assert got == embedding.vector_of(spark, "hello", embedding.open_source(dimensions=128)) and len(got) == 128 and all(-1 <= x <= 1 for x in got)
+    with pytest.raises(ValueError, match="nothing"):
+        embedding.open_source("nothing")
+
+
+def test_endpoint(spark):
+    """A small server that answers with the length of the prompt; an error is one here, too."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Answers(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"embedding": [len(asked["prompt"]), 1]}).encode()
+            self.send_response(200 if asked["model"] == "m" and self.path == "/x/api/embeddings" else 500)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/x/"
+    rows = spark.createDataFrame([("ab",), (None,), ("",)], "t string").coalesce(1)
+    made = embedding.open_source("ollama", model="m", dimensions=2, base_url=base, prefix="q:")
+    assert [r.embedding for r in embedding.with_embedding(rows, "t", made).collect()] == [[4.0, 1.0], None, [2.0, 1.0]]
+    with pytest.raises(OSError, match="500"):
+        embedding.vector_of(spark, "a", embedding.open_source("ollama", model="other", dimensions=2, base_url=base))
+    server.shutdown()
 
 
 def test_custom_embedder(spark):
     class Lengths:
         dimensions = 1
 
-        def embed_batch(self, texts):
-            return [[float(len(t))] for t in texts]
+        def vectors(self, texts):
+            return pa.array([[float(len(t))] for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     rows = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
     assert [r.embedding for r in embedding.with_embedding(rows, "t", Lengths()).collect()] == [[2.0], None, [0.0]]
 
 
 @pytest.mark.parametrize(("q", "want"), [("năm 2025", (2025, 1, 12)), ("chuyện năm nay", (2026, 1, 12)), ("năm ngoái", (2025, 1, 12)), ("năm  trước", (2025, 1, 12)), ("tháng 2/2024", (2024, 2, 2)), ("tháng 12 năm 2023", (2023, 12, 12)), ("in 2024 ok", (2024, 1, 12)), ("year 1950", (1950, 1, 12)), ("tháng 13/2024", (2024, 1, 12)), ("nothing", None), ("id 123456", None), ("year 9999", None)])
-def test_temporal_range(q, want):
-    got = temporal.temporal_range(q, date(2026, 5, 1))
+def test_temporal_range(spark, q, want):
+    got = tuple(one(spark, temporal.temporal_range(F.lit(q), F.lit(date(2026, 5, 1)))))
     assert got == ((None, None) if want is None else (date(want[0], want[1], 1), date(want[0], want[2], 29 if want[2] == 2 else 31)))
 
 

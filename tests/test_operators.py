@@ -53,11 +53,27 @@ def test_phrases_stay_within_a_field(spark):
 
 
 def test_index_agrees_with_scan(spark, tmp_path):
-    m = memories(spark, "cat sat", "cat cat cat sat", "a cat here", "dog")
-    text_search.write_index(m, f"{tmp_path}/i", buckets=4)
-    for q, mode in (("cat", "and"), ("cat sat", "and"), ("dog cat cat", "or"), ("", "and"), ("none", "and")):
-        got = [(r.id, round(r["rank"], 9)) for r in text_search.index_search(spark, f"{tmp_path}/i", q, 10, mode).collect()]
-        assert got == [(r.id, round(r["rank"], 9)) for r in text_search.bm25(m, q, 10, mode).collect()]
+    """In segments that were added one after the other; phrases need positions."""
+    m = memories(spark, "cat sat", "cat cat cat sat", "a cat here", "dog", "sat cat. sat-cat cat", "foo-bar baz", moods={4: "cat", 6: "bar"})
+    index = f"{tmp_path}/i"
+    text_search.write_index(m.where("id <= 2"), index)
+    text_search.write_index(m.where("id > 2"), index)
+    text_search.write_index(m.limit(0), index)
+    for q, mode in (("cat", "and"), ("cat sat", "and"), ("dog cat cat", "or"), ("", "and"), ("none", "and"), ("sat-cat", "and"), ("cat-sat dog", "or"), ("foo-bar-baz bar", "and"), ("baz-bar", "and"), ("2026-02-27", "and")):
+        want = [(r.id, round(r["rank"], 9)) for r in text_search.bm25(m, q, 10, mode).collect()]
+        assert [(r.id, round(r["rank"], 9)) for r in text_search.index_search(spark, index, q, 10, mode).collect()] == want
+        assert [(r.id, r.content, round(r["rank"], 9)) for r in text_search.bm25(m, q, 10, mode, index).collect()] == [(i, m.where(F.col("id") == i).first().content, x) for i, x in want]
+
+
+def plans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hydration_does_not_sort_memories(spark):
+    m = memories(spark, "cat sat", "dog")
+    got = fusion.hydrate(fusion.rrf([leg(spark, "vector", *[r.content_hash for r in m.collect()], "other")]), m)
+    assert "SortMergeJoin" not in plans_of(got)
+    assert sorted(r.content for r in got.collect()) == ["cat sat", "dog", "other"]
 
 
 def test_knn(spark):
@@ -132,6 +148,23 @@ def test_find_path(spark):
     assert graph.find_path(e, "A", "Y") == [] and graph.find_path(e, "Q", "q") == ["Q"]
 
 
+def test_paths_have_no_bound(spark):
+    e = spark.createDataFrame([(i, f"n{i}", f"n{i + 1}", None) for i in range(70)], "id long, source string, target string, valid_until date")
+    assert graph.find_path(e, "N0", "n70") == ["N0", *[f"n{i}" for i in range(1, 71)]]
+    far = graph.shortest_path_lengths(e.where("id < 15"), "n0")
+    assert {r.node: r.depth for r in far.collect()} == {f"n{i}": i for i in range(16)}
+
+
+def test_words_are_looked_up_together(spark):
+    rows = [(1, "Anna Lee", 5), (2, "Anna", 2), (3, "Joanna", 9), (4, "the anna x", 1), (5, "Bob", 7), (6, "a.b Bob", 1)]
+    n = spark.createDataFrame(rows, "id long, name string, mention_count long")
+    words = ["anna", "bob", "a.b", "lee", "none", "a_na"]
+    for limit in (1, 2, 5):
+        want = [(i, r.name) for i, w in enumerate(words) for r in graph.search_nodes(n, w, limit).where(text.whole_word(F.col("name"), w)).collect()]
+        assert [(r.word_no, r.name) for r in graph.search_words(n, words, limit).collect()] == want
+    assert graph.search_words(n, [], 5).count() == 0
+
+
 def test_search_nodes(spark):
     n = nodes(spark, ("Anna", "P", 1), ("Anna Lee", "P", 9), ("Joanna", "P", 5), ("the anna x", "P", 3))
     assert [r.name for r in graph.search_nodes(n, "anna").collect()] == ["Anna", "Anna Lee", "the anna x", "Joanna"]
