@@ -54,6 +54,11 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, l2: float
     return Logistic(mean, scale, w[:-1], float(w[-1]))
 
 
+def blank(model: Logistic) -> Logistic:
+    """The same scales, nothing learned."""
+    return Logistic(model.mean, model.scale, np.zeros_like(model.weights), 0.0)
+
+
 def newton_sums(model: Logistic, x: np.ndarray, y: np.ndarray, weight: float) -> np.ndarray:
     """What rows add to a Newton step from ``model``: gradient, then the rows of the Hessian."""
     z = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
@@ -66,7 +71,6 @@ def newton_step(model: Logistic, sums: np.ndarray, l2: float = 1.0) -> Logistic:
     """The model after a step with these sums over all its rows; weights are drawn towards 0."""
     d = len(model.weights) + 1
     w, ridge = np.append(model.weights, model.bias), np.append(np.full(d - 1, l2), 1e-3)
-    target = np.append(np.zeros(d - 1), model.bias)
-    step = np.linalg.solve(sums[d:].reshape(d, d) + np.diag(ridge), sums[:d] + ridge * (w - target))
+    step = np.linalg.solve(sums[d:].reshape(d, d) + np.diag(ridge), sums[:d] + ridge * w)
     w = w - step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
     return Logistic(model.mean, model.scale, w[:-1], float(w[-1]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quernel.llm.logistic import Logistic, fit, newton_step, newton_sums, sigmoid
+from quernel.llm.logistic import Logistic, blank, fit, newton_step, newton_sums, sigmoid
 from quernel.llm.toxicity import held_out, labelled_sample
 from quernel.workspace import drop_staged, stage
 
@@ -100,7 +100,7 @@ class CoTrained:
 
 
 BINS, FINEST = 2000, 20.0  #: margins from that of ``sure`` to this are told apart by so many bins
-STEPS = 3  #: Newton steps after each exchange
+STEPS = 8  #: Newton steps after each exchange, at most
 
 
 def array_sums(ua: np.ndarray, ub: np.ndarray):
@@ -127,7 +127,7 @@ def co_train(xa, xb, y, pool_sums, calibrate: np.ndarray, rounds: int = 5, grow:
     pool. ``calibrate``: rows of the labelled ones that are kept from fitting. Per round each view
     hands over the rows it is surest about, about ``grow`` of the pool for each class (to the next
     bin of its margin), and only rows with a probability over ``sure``; every row is handed over once
-    per view. Pseudo-labels weigh half.
+    per view. Pseudo-labels weigh half, and all of them half of the labelled rows at most.
     """
     own = ~calibrate
     views = (xa[own], xb[own])
@@ -158,16 +158,23 @@ def co_train(xa, xb, y, pool_sums, calibrate: np.ndarray, rounds: int = 5, grow:
             first = [max(0, min(int(np.argmax(a <= max(1, grow * n_pool))) if (a <= max(1, grow * n_pool)).any() else BINS, int(np.flatnonzero(c).max(initial=-1)) if c.any() else BINS)) for a, c in zip(above, counts[giver], strict=True)]
             cuts.append(tuple(float(edges[i]) if i < BINS else np.inf for i in first))
         history.append((now, tuple(cuts)))
+        models = [blank(m) for m in models]  # from a standstill: far off, Newton steps overshoot
         for _ in range(STEPS):
             now, was = tuple(models), list(history)
 
             def parts(a, b, now=now, was=was):
                 lent = _lent(was, a, b)
-                return np.concatenate([newton_sums(m, x[t >= 0], t[t >= 0].astype(float), 0.5) for m, x, t in zip(now, (a, b), lent, strict=True)])
-
-            sizes = [(v.shape[1] + 1) * (v.shape[1] + 2) for v in views]
-            total = pool_sums(parts, sum(sizes))
-            models = [newton_step(m, newton_sums(m, v, y[own], 1.0) + t) for m, v, t in zip(models, views, np.split(total, [sizes[0]]), strict=True)]
+                return np.concatenate([np.append(newton_sums(m, x[t >= 0], t[t >= 0].astype(float), 1.0), (t >= 0).sum()) for m, x, t in zip(now, (a, b), lent, strict=True)])
+
+            sizes = [(v.shape[1] + 1) * (v.shape[1] + 2) + 1 for v in views]
+            total = np.split(pool_sums(parts, sum(sizes)), [sizes[0]])
+            # All pseudo-labels of a view weigh half of its labelled rows at most, however large the pool is.
+            weights = [0.5 * len(v) / max(len(v), t[-1]) for v, t in zip(views, total, strict=True)]
+            steps = [newton_step(m, newton_sums(m, v, y[own], 1.0) + w * t[:-1]) for m, v, t, w in zip(models, views, total, weights, strict=True)]
+            moving = [np.abs(a.weights - b.weights).max(initial=0) > 1e-3 for a, b in zip(models, steps, strict=True)]
+            models = steps
+            if not any(moving):
+                break
     rest = calibrate if calibrate.any() else own
     margins = [models[0].margin(xa[rest])[:, None], models[1].margin(xb[rest])[:, None]]
     calibration = tuple(fit(m, y[rest], prior=np.ones(1) * max(1e-6, m.std() if len(m) else 1.0)) for m in margins)
