@@ -15,14 +15,17 @@ NOW = datetime(2026, 2, 27, 10, tzinfo=timezone(timedelta(hours=7)))
 LATER = NOW + timedelta(days=120)
 
 
-class Planned:
-    """Vectors of one's own: some texts have those of another one."""
+def planned(dimensions, same):
+    """Vectors of one's own: some texts have those of another one. (A class made here travels by value.)"""
 
-    def __init__(self, dimensions, same):
-        self.dimensions, self.same = dimensions, same
+    class Planned:
+        def __init__(self):
+            self.dimensions = dimensions
 
-    def vectors(self, texts):
-        return HashVectors(self.dimensions).vectors(pa.array([self.same.get(t, t) for t in texts.to_pylist()], pa.string()))
+        def vectors(self, texts):
+            return HashVectors(dimensions).vectors(pa.array([same.get(t, t) for t in texts.to_pylist()], pa.string()))
+
+    return Planned()
 
 
 def test_write_search_and_maintain(spark, tmp_path):
@@ -58,7 +61,7 @@ def test_write_search_and_maintain(spark, tmp_path):
 
 
 def test_merges(spark, tmp_path):
-    e = Engine(spark, f"file://{tmp_path}/m", Planned(16, {"Anna Lea": "Anna Lee"}))
+    e = Engine(spark, f"file://{tmp_path}/m", planned(16, {"Anna Lea": "Anna Lee"}))
     e.kg_index("h", '[{"name": "Anna Lee"}, {"name": "Anna Lee"}, {"name": "Tom"}]', '[{"source": "Anna Lee", "target": "Tom"}]', now=NOW)
     assert e.merge("Tom", "tom", NOW)["reason"] == "self-merge" and e.merge("Nobody", "Tom", NOW)["reason"] == "source not found"
     assert e.merge("Anna Lee", "Tom", NOW)["status"] == "merged"
