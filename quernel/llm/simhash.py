@@ -17,10 +17,11 @@ Two probing schemes:
 
 ``near_duplicates`` adds a second pass without a cap. MinHash bands meet by the similarity of the
 shingle sets alone, whatever the edit looks like, and each two texts of a band entry that are not yet
-in one component are compared, unless counts prove them unlike: a text shares with another one only
-shingles that occur in some other text of the pass, and two texts of sizes m and n need
-s / (1 + s) * (m + n) common shingles for a similarity of s. Pairs whose MinHash sketches lie too far
-apart go as well; the rest is verified on the whole texts by word-shingle Jaccard similarity.
+in one component are compared. Both passes leave out pairs that can't be similar. Texts of m and n
+shingles and a similarity of s differ in at most (1 - s) / (1 + s) * (m + n) of them, and each
+shingle that only one of two texts has flips one bit of their parity sketches: if more bits differ,
+the pair is unlike for certain. Pairs whose MinHash sketches lie too far apart go as well; the rest
+is verified on the whole texts by word-shingle Jaccard similarity.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows that share a
 fingerprint (or, for whole texts, a digest) are one node of the link graph, so a group of any number
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.components import connected_components
-from quernel.workspace import drop_staged, stage
+from quernel.workspace import drop_staged, release, stage
 
 #: (lowest bit, width) of each segment.
 EXACT_SEGMENTS = ((32, 32), (0, 32))
@@ -77,6 +78,7 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
 
 
 SKETCH = ("s0", "s1", "s2", "s3")  #: columns of 64 bits
+PARITY = tuple(f"o{i}" for i in range(8))  #: columns of 64 bits: whether a text has an odd number of the shingles of each bit
 #: Drawn at random: the least values under multiples of one constant would depend on each other.
 _TURNS = np.random.default_rng(42).integers(0, 1 << 63, 64 * len(SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bands and least hashes in each: texts of similarity 0.8 share no band with probability
@@ -84,9 +86,18 @@ _TURNS = np.random.default_rng(42).integers(0, 1 << 63, 64 * len(SKETCH), dtype=
 BANDS, BAND_ROWS = 40, 6
 
 
-def least_of(text: str | None, k: int) -> np.ndarray:
+def set_hashes(text: str | None, k: int) -> np.ndarray:
+    """A hash of each different shingle."""
+    return np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text), k))], dtype=np.uint64)
+
+
+def parity_of(h: np.ndarray) -> bytes:
+    """One bit for each of 512 parts of the hashes: the number of hashes in it, modulo 2."""
+    return np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1, bitorder="little").tobytes()
+
+
+def least_of(h: np.ndarray) -> np.ndarray:
     """The least of the shingle hashes in each of some orders (MinHash)."""
-    h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text), k))], dtype=np.uint64)
     low = np.full(len(_TURNS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 2048):
         low = np.minimum(low, ((h[at : at + 2048, None] ^ (h[at : at + 2048, None] >> np.uint64(29))) * _TURNS).min(axis=0))
@@ -102,7 +113,7 @@ def sketch_of(text: str | None, k: int) -> bytes:
 
     Two texts of similarity s agree in a bit with probability (1 + s) / 2.
     """
-    return sketch_bits(least_of(text, k))
+    return sketch_bits(least_of(set_hashes(text, k)))
 
 
 def bands_of(low: np.ndarray) -> np.ndarray:
@@ -123,18 +134,22 @@ def sketch_limit(similarity: float) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, weak: int = 0, sketch: int = 5) -> DataFrame:
     """``(doc_id, fp long)``; with ``weak`` also ``close``, the places of the closest votes of each wide
     segment, ``s0`` to ``s3``, a sketch of the set of ``sketch``-word shingles, ``same``, a digest
-    that equal texts share, and ``bands``, the hashes of the set's MinHash bands."""
+    that equal texts share, ``bands``, the hashes of the set's MinHash bands, ``n``, its size, and
+    ``o0`` to ``o7``, its parity sketch."""
 
     def run(batches):
         for batch in batches:
-            fps, close, same, sketches, bands = [], [], [], [], []
+            fps, close, same, sketches, bands, sizes, parities = [], [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 votes, n = votes_of(text, shingle)
                 fps.append(np.packbits(votes * 2 > n, bitorder="little").tobytes())
                 if weak:
                     margin = np.abs(votes * 2 - n)
                     close.append(bytes(lo + int(i) for lo, width in WIDE_SEGMENTS for i in np.argsort(margin[lo : lo + width], kind="stable")[:weak]))
-                    low = least_of(text, sketch)
+                    h = set_hashes(text, sketch)
+                    low = least_of(h)
+                    sizes.append(len(h))
+                    parities.append(parity_of(h))
                     sketches.append(sketch_bits(low))
                     bands.append(bands_of(low))
                     same.append(hashlib.md5((text or "").encode()).digest())
@@ -143,10 +158,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 halves = np.frombuffer(b"".join(sketches), dtype="<i8").reshape(-1, len(SKETCH))
                 out += [pa.array(close, pa.binary()), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in range(len(SKETCH))), pa.array(same, pa.binary())]
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*bands, np.zeros(0, dtype=np.int64)]))))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", *SKETCH, "same", "bands"][: len(out)])
+                odd = np.frombuffer(b"".join(parities), dtype="<i8").reshape(-1, len(PARITY))
+                out += [pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(len(PARITY)))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "close", *SKETCH, "same", "bands", "n", *PARITY][: len(out)])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long" + f", close binary, {' long, '.join(SKETCH)} long, same binary, bands array<long>" * bool(weak))
+    return picked.mapInArrow(run, "doc_id long, fp long" + f", close binary, {' long, '.join(SKETCH)} long, same binary, bands array<long>, n int, {' long, '.join(PARITY)} long" * bool(weak))
 
 
 def _key(seg: int, low: int, width: int, fp):
@@ -259,40 +276,29 @@ def apart_rows(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mixed, "key")
 
 
-def shared_shingles(ids: DataFrame, texts: DataFrame, k: int, similarity: float, rounds: int = 2) -> DataFrame:
-    """``(id, n, c)`` of the ``ids`` that may have a partner among them: n shingles, c of them in another text, too.
-
-    Two texts of this similarity share at least the share ``similarity`` of either's shingles, so
-    texts with a smaller c have no partner; without them, c of the others may be smaller still.
-    """
+def _may_be_similar(similarity: float) -> Column:
+    """No pair of this similarity fails: parity sketches differ in no more bits than the sets in shingles."""
+    apart = (F.col("n") + F.col("t_n")) * ((1 - similarity) / (1 + similarity))
+    return (F.abs(F.col("n") - F.col("t_n")) <= apart + 1e-6) & (reduce(Column.__add__, map(_differ, PARITY)) <= apart + 1e-6)
 
-    def run(batches):
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.array([xxhash.xxh64_intdigest(x, 7) for x in set(shingles_of(words_of(text.as_py()), k))], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(h)], ["id", "n", "h"])
 
-    tokens = stage(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, n int, h long"), "tokens")
-    kept = None
-    for _ in range(rounds):
-        own = tokens if kept is None else tokens.join(kept, "id", "left_semi")
-        common = own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-        kept = stage(own.join(common, "h", "left_semi").groupBy("id", "n").agg(F.count("*").cast("int").alias("c")).where(F.col("c") >= F.col("n") * similarity - 1e-6), "cores")
-    drop_staged(tokens)
-    return kept
+def possible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and parity sketches of ``reps`` don't rule out."""
+    one = reps.select(F.col("id").alias("src"), "n", *PARITY)
+    other = reps.select(F.col("id").alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in ("n", *PARITY)])
+    return pairs.join(one, "src").join(other, (F.col("dst") == F.col("t_id")) & _may_be_similar(similarity)).select("src", "dst")
 
 
-def band_rest(live: DataFrame, cores: DataFrame, apart: int, similarity: float) -> DataFrame:
+def band_rest(live: DataFrame, reps: DataFrame, apart: int, similarity: float) -> DataFrame:
     """All pairs ``(src, dst)`` of ``live`` that share a band entry, lie in different components and may be similar enough.
 
     Rows of an entry's largest component needn't probe: each pair that crosses components has an end
     outside it.
     """
-    live = live.join(cores, "id")
-    table = live.select(*[F.col(c).alias(f"t_{c}") for c in ("key", "id", "component", "main", "n", "c", *SKETCH)])
+    live = live.join(reps.select("id", "n", *PARITY), "id")
+    table = live.select(*[F.col(c).alias(f"t_{c}") for c in ("key", "id", "component", "main", "n", *SKETCH, *PARITY)])
     once = (F.col("t_component") == F.col("t_main")) | (F.col("id") < F.col("t_id"))
-    enough = F.least("c", "t_c") >= (F.col("n") + F.col("t_n")) * (similarity / (1 + similarity)) - 1e-6
-    found = live.where("component <> main").join(table, (F.col("key") == F.col("t_key")) & (F.col("component") != F.col("t_component")) & once & enough & _sketches_near(apart))
+    found = live.where("component <> main").join(table, (F.col("key") == F.col("t_key")) & (F.col("component") != F.col("t_component")) & once & _may_be_similar(similarity) & _sketches_near(apart))
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
 
@@ -331,29 +337,34 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = stage(fingerprints(picked, shingle=fp_shingle, weak=weak, sketch=shingle), "prints")
-    columns = ("fp", "close", *SKETCH, "bands")
-    first_row = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*columns)).alias("r"))  # equal texts, equal columns
-    reps = stage(first_row.select(F.monotonically_increasing_id().alias("id"), "same", "doc_id", *[F.col(f"r.{c}").alias(c) for c in columns]), "reps")
+    columns = ("fp", "close", *SKETCH, "bands", "n", *PARITY)
+    first_row = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first(F.struct(*columns)).alias("r"))  # equal texts, equal columns
+    reps = stage(first_row.select(F.monotonically_increasing_id().alias("id"), "same", "doc_id", "copies", *[F.col(f"r.{c}").alias(c) for c in columns]), "reps")
+    narrow = stage(prints.select("doc_id", "same"), "rows")
+    drop_staged(prints)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = reps.join(ids, "id", "left_semi").select("id", "same")
-        copies = picked.withColumn("same", _digest(F.col("text"))).join(wanted.select("same"), "same", "left_semi")
-        return copies.groupBy("same").agg(F.first("text").alias("text")).join(wanted, "same").select("id", "text")
+        """Most texts have no copies, so that they needn't be grouped."""
+        wanted = stage(reps.select("id", "same", "copies").join(ids, "id", "left_semi"), "wanted")
+        with_same = picked.select("text", _digest(F.col("text")).alias("same"))
+        alone = with_same.join(wanted.where("copies = 1"), "same").select("id", "text")
+        return alone.unionByName(with_same.join(wanted.where("copies > 1"), "same").groupBy("id").agg(F.first("text").alias("text")))
 
     apart = sketch_limit(similarity)
     rows = stage(band_rows(reps), "bands")
-    pairs = stage(wide_links(reps, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), "pairs")
+    pairs = stage(possible(wide_links(reps, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), reps, similarity), "pairs")
+    release(docs.sparkSession)
     first = connected_components(verified(pairs, texts_of, shingle, similarity))
     live = stage(apart_rows(rows, first), "apart")
-    ids = live.select("id").distinct()
-    cores = shared_shingles(ids, texts_of(ids), shingle, similarity)
-    rest = stage(band_rest(live, cores, apart, similarity), "pairs")
+    drop_staged(rows)
+    release(docs.sparkSession)
+    rest = stage(band_rest(live, reps, apart, similarity), "pairs")
     links = verified(rest, texts_of, shingle, similarity)
     comps = connected_components(first.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links))
     classes = stage(_classes(reps.select(F.col("id").alias("node"), "same", F.col("doc_id").alias("id")), comps, "node").select("same", "id", "root", "component_id"), "classes")
-    narrow = stage(prints.select("doc_id", "same"), "rows")
-    for done in (prints, reps, rows, pairs, live, cores, rest):
+    for done in (reps, pairs, live, rest):
         drop_staged(done)
+    release(docs.sparkSession)
     return narrow, classes
 
 

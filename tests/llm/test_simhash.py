@@ -189,6 +189,19 @@ def test_a_large_group_of_near_copies_equals_brute_force(spark):
     assert got == want and 3 < len(set(want.values())) < 500
 
 
+def test_parity_sketches_never_rule_out_a_similar_pair():
+    rnd = random.Random(3)
+    for n in (0, 1, 5, 40, 200, 3000):
+        for edits in (0, 1, 3, n // 20, n // 3):
+            base = [f"{rnd.randrange(4000)}x" for _ in range(n)]
+            other = list(base)
+            for _ in range(edits if n else 0):
+                other[rnd.randrange(n)] = f"{rnd.randrange(10**6)}y"
+            x, y = (set(simhash.shingles_of(simhash.words_of(" ".join(w)), 5)) for w in (base, other))
+            a, b = (int.from_bytes(simhash.parity_of(simhash.set_hashes(" ".join(w), 5)), "little") for w in (base, other))
+            assert (a ^ b).bit_count() <= len(x ^ y)
+
+
 def test_sketches_estimate_similarity():
     rnd = random.Random(2)
     base = [f"{rnd.randrange(4000)}x" for _ in range(400)]
