@@ -8,11 +8,17 @@ links below it. Its density is characters per tag, adjusted for links by
 with 1 for a zero in a denominator; CB and LCB are the body's. A node's density sum is that of its
 children. The node with the largest sum is the article's frame; the smallest density on the path
 from it to the body is the threshold. Below the frame, each subtree with a density under the
-threshold whose characters are mostly links goes, and so do elements that can't be article text
-by their name or by a word of their class, id or role.
+threshold whose characters are mostly links goes, and so do elements that can't be article text by
+their name.
+
+A word of a class, id or role (``ad``, ``sidebar``, ``comments``) is a hint that needs a second sign:
+a container goes if it doesn't hold the article or most of the page's text; a paragraph, heading or
+list item only if most of it is links, unless it says that it is an advert. Words that articles use
+as well (``comment``, ``search``) take a container that is mostly links, has a form, stands outside
+the article, or is one of several alike.
 
 Nulls, empty pages and pages without text give an empty text. Tags left open, stray end tags,
-truncated pages and nesting of any depth are fine: the parser and all walks are loops.
+truncated pages and nesting of any depth are fine: parser and walks are loops, linear in the page.
 """
 
 from __future__ import annotations
@@ -34,9 +40,14 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
 #: Elements that hold no article text, and words of class, id or role that say so.
 NO_TEXT = frozenset("script style noscript template head nav aside footer form button select textarea iframe object embed canvas svg dialog menu title input option".split())
-NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget complementary banner search dialog alert".split()
+ADVERT = frozenset("ad ads advert adverts advertisement advertising promo promoted sponsor sponsored".split())
+NOISE = ADVERT | frozenset(
+    "banner breadcrumb breadcrumbs comments consent contentinfo cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices popup related replies respond share sharing sidebar signup social subscribe toolbar widget".split()
 )
+DOUBTFUL = frozenset("alert comment complementary dialog reply search skip".split())
+#: Elements that hold text themselves, rather than blocks of it.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre address".split())
+CONTROLS = frozenset("form input select textarea button".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -61,15 +72,18 @@ class Dom:
 
 def parse(page: str) -> Dom:
     dom, open_, at, n = Dom(), [0], 0, len(page)
+    where: dict[str, list[int]] = {}  # for each name the places of its open elements, so that none is searched for
+
+    def top(names) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=0)
 
     def close(names: set[str] | frozenset[str], fence: set[str] | frozenset[str]) -> None:
         """End the innermost open element of ``names``, and all within, unless a fence is nearer."""
-        for k in range(len(open_) - 1, 0, -1):
-            if dom.name[open_[k]] in names:
-                del open_[k:]
-                return
-            if dom.name[open_[k]] in fence:
-                return
+        k = top(names)
+        if k and k > top(fence):
+            for node in open_[k:]:
+                where[dom.name[node]].pop()
+            del open_[k:]
 
     def say(text: str) -> None:
         if text:
@@ -84,8 +98,6 @@ def parse(page: str) -> Dom:
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            if name == "p" and not any(dom.name[i] == "p" for i in open_):
-                continue
             close({name}, {"table", "td", "th", "article", "body"} - {name} if name in INLINE or name == "p" else frozenset())
         elif m[2]:
             name = m[2].lower()
@@ -101,21 +113,61 @@ def parse(page: str) -> Dom:
                 dom.items[node].append((False, page[at : end.start() if end else n]))
                 at = end.end() if end else n
             elif name not in VOID and not m[3].rstrip().endswith("/"):
+                where.setdefault(name, []).append(len(open_))
                 open_.append(node)
     return dom
 
 
+def _marks(attrs: str) -> set[str]:
+    return {w for m in MARKS.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+
+
 def unwanted(dom: Dom) -> list[bool]:
-    """Nodes whose text is not the article's, by element, class, id or role, with all below them."""
-    out = [False] * len(dom.name)
-    in_article = [False] * len(dom.name)
-    for i in range(1, len(dom.name)):
+    """Nodes whose text is not the article's, with all below them: by element, or by a hint and its second sign."""
+    n = len(dom.name)
+    out, in_article = [False] * n, [False] * n
+    hints: dict[int, tuple[set[str], set[str]]] = {}
+    for i in range(1, n):
         up, name = dom.up[i], dom.name[i]
         in_article[i] = in_article[up] or name in ("article", "main")
         out[i] = out[up] or name in NO_TEXT or (name == "header" and not in_article[up])
         if not out[i] and dom.attrs[i] and name not in ("html", "body", "article", "main"):
-            words = {w for m in MARKS.finditer(dom.attrs[i]) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-            out[i] = bool(words & NOISE) or bool(HIDDEN.search(dom.attrs[i]))
+            words = _marks(dom.attrs[i])
+            if words & (NOISE | DOUBTFUL):
+                hints[i] = words & NOISE, words & DOUBTFUL
+            out[i] = bool(HIDDEN.search(dom.attrs[i]))
+    if not hints:
+        return out
+    chars, linked, controls, holds = [0] * n, [0] * n, [False] * n, [False] * n
+    in_link = [False] * n
+    for i in range(1, n):
+        in_link[i] = in_link[dom.up[i]] or dom.name[i] == "a"
+    for i in range(n - 1, 0, -1):
+        up, name = dom.up[i], dom.name[i]
+        if not (name in NO_TEXT or name == "script"):
+            own = sum(len(SPACE.sub("", t)) for is_node, t in dom.items[i] if not is_node)
+            chars[i] += own
+            linked[i] += own if in_link[i] else 0
+            chars[up] += chars[i]
+            linked[up] += linked[i]
+        controls[up] = controls[up] or controls[i] or name in CONTROLS
+        holds[up] = holds[up] or holds[i] or name in ("article", "main")
+    alike: dict[tuple[int, str], int] = {}
+    for i, (_, doubtful) in hints.items():
+        for w in doubtful:
+            alike[dom.up[i], w] = alike.get((dom.up[i], w), 0) + 1
+    for i in range(1, n):
+        if i in hints and not out[i] and not out[dom.up[i]]:
+            sure, doubtful = hints[i]
+            links = linked[i] * 2 > chars[i]
+            whole = holds[i] or chars[i] * 2 > chars[0]  # the page's own text, whatever its name is
+            if dom.name[i] in TEXTUAL or dom.name[i] in INLINE:
+                out[i] = links and not whole or bool(sure & ADVERT) and not whole
+            elif sure:
+                out[i] = not whole
+            else:
+                out[i] = not whole and (links or controls[i] or not in_article[i] or any(alike[dom.up[i], w] > 1 for w in doubtful))
+        out[i] = out[i] or out[dom.up[i]]
     return out
 
 
@@ -166,15 +218,12 @@ def frame_of(dom: Dom, density: list[float], sums: list[float], skip: list[bool]
         up = dom.up[up]
     if up > 0:
         low = min(low, density[up])
-    while dom.up[best] > 0 and any(dom.name[k] in ("article", "main") for k in _above(dom, best)):
-        best = dom.up[best]  # a frame within an article is part of it
-    return best, low
-
-
-def _above(dom: Dom, i: int):
-    while dom.up[i] > 0:
-        i = dom.up[i]
-        yield i
+    outer = 0  # a frame within an article is part of it
+    up = dom.up[best]
+    while up > 0:
+        outer = up if dom.name[up] in ("article", "main") else outer
+        up = dom.up[up]
+    return outer or best, low
 
 
 def blocks_of(dom: Dom, frame: int, threshold: float, density: list[float], chars: list[int], linked: list[int], skip: list[bool]) -> list[str]:

@@ -57,3 +57,46 @@ def test_table(spark):
     got = h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, WANT, len(WANT)), (1, WANT, len(WANT)), (2, "", 0)]
     assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+ARTICLE = "".join(f"<p>Paragraph {i} of the article, with enough words to be text.</p>" for i in range(4))
+BODY = "\n".join(f"Paragraph {i} of the article, with enough words to be text." for i in range(4))
+
+
+def test_a_word_of_a_class_alone_removes_nothing_from_an_article():
+    for more, text in (
+        ('<div class="search"><p>How the search went on.</p></div>', "How the search went on."),
+        ('<p class="comment">A comment by the author.</p>', "A comment by the author."),
+        ('<h2 id="related">Related work</h2>', "Related work"),
+        ('<ul><li class="menu">Soup and fish on the menu</li></ul>', "Soup and fish on the menu"),
+        ('<p>On <span class="notice">this</span> day.</p>', "On this day."),
+    ):
+        assert h.extract(f"<body><article>{ARTICLE}{more}</article></body>") == f"{BODY}\n{text}"
+    assert h.extract(f'<body><div class="search sidebar">{ARTICLE}</div></body>') == BODY
+    assert h.extract(f'<body class="nav"><div id="widget"><main>{ARTICLE}</main></div></body>') == BODY
+
+
+def test_noise_within_and_around_an_article():
+    for noise in (
+        '<div class="ad">Buy things now.</div>', '<p class="advert">Buy things now.</p>', '<aside>More on this</aside>', '<div class="cookie-notice"><p>We use cookies here.</p></div>',
+        '<section id="comments"><h3>Comments</h3><div class="comment"><p>First!</p></div><div class="comment"><p>I disagree.</p></div></section>',
+        '<div><div class="comment"><p>First!</p></div><div class="comment"><p>I disagree.</p></div></div>',
+        '<div class="search"><form><input name="q">Find</form></div>', '<div class="related"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>',
+        '<p class="share"><a href="/x">Send this</a></p>', "<div hidden>Nothing to see</div>",
+    ):
+        assert h.extract(f"<body><article>{ARTICLE}{noise}</article></body>") == BODY, noise
+        assert h.extract(f"<body><article>{ARTICLE}</article>{noise}</body>") == BODY, noise
+
+
+def test_depth_and_stray_tags_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        h.extract(page)
+        return time.process_time() - began
+
+    deep = lambda n: "<article>" + "<div class=x><b>" * n + "text" + "</i></div>" * n
+    stray = lambda n: "<b><table><tr><td>" + "<div>" * n + "</b></p></span>" * n
+    for page in (deep, stray):
+        assert seconds(page(40_000)) < 12 * max(0.05, seconds(page(8_000)))
