@@ -12,7 +12,7 @@ threshold whose characters are mostly links goes, and so do elements that can't
 their name.
 
 A word of a class, id or role (``ad``, ``sidebar``, ``comments``) is a hint that needs a second sign:
-a container goes if it doesn't hold the article or most of the page's text; a paragraph, heading or
+a container goes unless it holds the article, or most of the text where that must be; a paragraph, heading or
 list item only if most of it is links, unless it says that it is an advert. Words that articles use
 as well (``comment``, ``search``) take a container that is mostly links, has a form, stands outside
 the article, or is one of several alike.
@@ -144,7 +144,7 @@ def unwanted(dom: Dom) -> list[bool]:
         in_link[i] = in_link[dom.up[i]] or dom.name[i] == "a"
     for i in range(n - 1, 0, -1):
         up, name = dom.up[i], dom.name[i]
-        if not (name in NO_TEXT or name == "script"):
+        if name not in NO_TEXT:
             own = sum(len(SPACE.sub("", t)) for is_node, t in dom.items[i] if not is_node)
             chars[i] += own
             linked[i] += own if in_link[i] else 0
@@ -160,9 +160,10 @@ def unwanted(dom: Dom) -> list[bool]:
         if i in hints and not out[i] and not out[dom.up[i]]:
             sure, doubtful = hints[i]
             links = linked[i] * 2 > chars[i]
-            whole = holds[i] or chars[i] * 2 > chars[0]  # the page's own text, whatever its name is
+            # The text itself, whatever its name is: it holds the article, or most of what there is where the article must be.
+            whole = holds[i] or (not sure & ADVERT and (in_article[i] or not holds[0]) and chars[i] * 2 > chars[0])
             if dom.name[i] in TEXTUAL or dom.name[i] in INLINE:
-                out[i] = links and not whole or bool(sure & ADVERT) and not whole
+                out[i] = not whole and (links or bool(sure & ADVERT))
             elif sure:
                 out[i] = not whole
             else:
