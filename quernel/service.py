@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quernel.functions.embedding import HashVectors, vector_of, with_embedding
 from quernel.functions.text import nocase
 from quernel.operators import communities, graph, resolve, search, temporal, timeline
+from quernel.operators.text_search import index_stats, write_index
 from quernel.sources.store import Store, parse_entities, parse_relations
-from quernel.workspace import ship
+from quernel.workspace import delete_path, drop_staged, path_exists, ship, stage
 
 ZONE = timezone(timedelta(hours=7))
 
@@ -26,6 +27,7 @@ class Engine:
         ship(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.vectors_of = vectors_of or HashVectors(128)
+        self.index = f"{self.store.path}/text-index"
 
     # --- writes ---------------------------------------------------------------------------------
 
@@ -41,12 +43,34 @@ class Engine:
             (F.monotonically_increasing_id() + last + 1).alias("id"), "content", F.lit(now.date()).alias("date"), F.coalesce("mood", F.lit("")).alias("mood"), F.lit(now.replace(tzinfo=None)).alias("ts"),
             F.sha2("content", 256).alias("content_hash"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.col("event_time").cast("date").alias("event_time"),
         )
+        new = stage(new, "saves")  # so that all that follows sees the same ids
         self.store.log(new)
-        fresh = timeline.first_by_hash(new.join(old.select("content_hash"), "content_hash", "left_anti").select(old.columns))
-        self.store.write("memories", old.unionByName(fresh))
-        vectors = self.store.read("vectors")
+        fresh = stage(timeline.first_by_hash(new.join(old.select("content_hash"), "content_hash", "left_anti").select(old.columns)), "saves")
         added = with_embedding(fresh.select("content_hash", "content"), "content", self.vectors_of).select("content_hash", "embedding")
-        self.store.write("vectors", vectors.join(added.select("content_hash"), "content_hash", "left_anti").unionByName(added))
+        self.store.commit(append={"memories": fresh, "vectors": added.join(self.store.read("vectors"), "content_hash", "left_anti")})
+        write_index(fresh, self.index)
+        for done in (new, fresh):
+            drop_staged(done)
+
+    def _index(self, memories: DataFrame) -> str | None:
+        """The full-text index, if it has all memories; otherwise texts are scanned until ``reindex``."""
+        if not path_exists(self.spark, f"{self.index}/sizes"):
+            return None
+        return self.index if index_stats(self.spark, self.index).total == memories.count() else None
+
+    def reindex(self) -> None:
+        """Builds the full-text index anew."""
+        delete_path(self.spark, self.index)
+        write_index(self.store.read("memories"), self.index)
+
+    def _named(self, nodes: DataFrame) -> DataFrame:
+        """Names with their mentions and vectors; only names without a vector go through the source."""
+        known = self.store.read("name_vectors")
+        missing = nodes.select("name").distinct().join(known, "name", "left_anti")
+        if not missing.isEmpty():
+            self.store.append("name_vectors", with_embedding(missing, "name", self.vectors_of))
+            known = self.store.read("name_vectors")
+        return nodes.select("name", "mention_count").join(known, "name")
 
     def save_memory(self, text: str, mood: str | None = None, tags: list[str] | None = None, event_time: date | None = None, now: datetime | None = None) -> dict:
         now = (now or datetime.now(ZONE)).astimezone(ZONE)
@@ -66,7 +90,7 @@ class Engine:
         t = self.store.tables()
         names = [x.name for x in e.select("name").distinct().collect()]
         merged, candidates = [], []
-        vectors = with_embedding(t["nodes"].select("name", "mention_count"), "name", self.vectors_of)
+        vectors = self._named(t["nodes"])
         for name in names:
             for c in resolve.find_similar(vectors, name, vector_of(self.spark, name, self.vectors_of)).orderBy("target").collect():
                 item = {"source": c.source, "target": c.target, "vector_sim": round(c.vector_sim, 4), "name_sim": round(c.name_sim, 4)}
@@ -108,17 +132,16 @@ class Engine:
         last = t["nodes"].agg(F.max("id")).first()[0] or 0
         fresh = names.select((F.monotonically_increasing_id() + last + 1).alias("id"), "name", F.lit("PERSON").alias("type"), F.lit(0).cast("long").alias("mention_count"), F.lit(False).alias("is_canonical"), F.lit(1.0).alias("confidence"))
         nodes = t["nodes"].unionByName(fresh, allowMissingColumns=True) if given else t["nodes"]
-        self.store.write("nodes", nodes.withColumn("is_canonical", F.coalesce("is_canonical", F.lit(False)) | (F.lit(bool(given)) & (F.col("name") == canonical))))
+        marked = nodes.withColumn("is_canonical", F.coalesce("is_canonical", F.lit(False)) | (F.lit(bool(given)) & (F.col("name") == canonical)))
         last = t["aliases"].agg(F.max("id")).first()[0] or 0
         new = rows.join(t["aliases"], ["alias", "canonical"], "left_anti").withColumn("id", F.monotonically_increasing_id() + last + 1)
-        self.store.write("aliases", t["aliases"].unionByName(new))
+        self.store.commit({"nodes": marked}, {"aliases": new})
         return {"status": "ok", "canonical": canonical, "aliases_added": given}
 
     def _merge(self, source: str, target: str, now: datetime, kind: str, vector_sim: float | None, name_sim: float | None) -> dict:
         after, status = resolve.merge_entities(self.store.tables(), source, target, now.astimezone(timezone.utc).replace(tzinfo=None), kind, vector_sim, name_sim)
         if status["status"] == "merged":
-            for name in ("nodes", "edges", "aliases", "merge_log"):
-                self.store.write(name, after[name])
+            self.store.commit({name: after[name] for name in ("nodes", "edges", "aliases", "merge_log")})
         return status
 
     def merge(self, source: str, target: str, now: datetime | None = None) -> dict:
@@ -126,7 +149,7 @@ class Engine:
 
     def dedup_scan(self, auto_merge: bool = False, now: datetime | None = None) -> dict:
         """All pairs that may be the same; with ``auto_merge`` sure ones are merged one after the other."""
-        names = with_embedding(self.store.read("nodes").select("name", "mention_count"), "name", self.vectors_of)
+        names = self._named(self.store.read("nodes"))
         found = resolve.scan_all(names).orderBy(F.desc("vector_sim"), "source", "target").collect()
         as_item = lambda c: {"source": c.source, "target": c.target, "vector_sim": round(c.vector_sim, 4), "name_sim": round(c.name_sim, 4)}
         merged = [as_item(c) for c in found if auto_merge and c.decision == "auto" and self._merge(c.source, c.target, now or datetime.now(ZONE), "auto", c.vector_sim, c.name_sim)["status"] == "merged"]
@@ -137,7 +160,7 @@ class Engine:
 
     def _tables(self) -> search.Tables:
         t = self.store.tables()
-        return search.Tables(t["memories"], t["nodes"], t["edges"], t["aliases"], t["vectors"])
+        return search.Tables(t["memories"], t["nodes"], t["edges"], t["aliases"], t["vectors"], self._index(t["memories"]))
 
     def search_memories(self, query: str, limit: int = 10, date_from: date | None = None, date_to: date | None = None, entities: list[str] | None = None, include_historical: bool = False, now: datetime | None = None) -> dict:
         t = self._tables()

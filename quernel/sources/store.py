@@ -1,12 +1,14 @@
 """Tables as snapshots in a folder of any store that Spark reads, and the plain-text log of saves.
 
-A write makes a new snapshot next to the last one; readers take the newest complete one. Nothing is
-updated in place, so a failed write leaves the old state as it was.
+A write adds folders: a whole table, or rows that are appended to one. What counts is the newest
+manifest, a small file that names the folders of every table; it is published last, so changes to
+several tables are seen together or not at all. Nothing is updated in place.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,44 +16,92 @@ from pyspark.sql import functions as F
 from quernel.schema import ENTITY_INPUT, RELATION_INPUT, TABLES
 
 
+MOST_PARTS = 64
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self._names("manifests") if n.endswith(".json") and not n.startswith((".", "_"))]
+
+    def _state(self, manifest: str | None = None) -> dict[str, list[str]]:
+        """The folders that make up each table, as the newest manifest says."""
+        manifest = manifest or (self._manifests() or [None])[-1]
+        if manifest is None:  # a store from before there were manifests: the newest complete snapshots
+            done = {t: [n for n in self._names(t) if n[:1] == "v" and n[1:].isdigit() and "_SUCCESS" in self._names(f"{t}/{n}")] for t in TABLES}
+            return {t: [f"{t}/{max(v, key=lambda n: int(n[1:]))}"] for t, v in done.items() if v}
+        fs, path = self._at(f"manifests/{manifest}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame:
-        """The newest snapshot; columns that it doesn't have yet are null."""
-        versions = self._versions(table)
+        """The table as last published; columns that its files don't have yet are null."""
         schema = self.spark.createDataFrame([], TABLES[table])
-        if not versions:
+        folders = self._state().get(table)
+        if not folders:
             return schema
-        found = self.spark.read.parquet(f"{self.path}/{table}/v{versions[-1]}")
+        found = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{f}" for f in folders])
         return schema.unionByName(found, allowMissingColumns=True).select(schema.columns)
 
-    def write(self, table: str, rows: DataFrame) -> None:
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> None:
+        """Writes tables and parts of tables, then publishes all of them with one manifest.
+
+        A failure before that leaves everything as it was. Two writers can't publish the same
+        number: the second one fails. A table of ``MOST_PARTS`` parts is written anew.
+        """
+        state, last = self._state(), (self._manifests() or ["0"])[-1].split(".")[0]
+        for table, rows in (replace or {}).items():
+            state[table] = [self._write(table, rows)]
+        for table, rows in (append or {}).items():
+            parts = state.get(table, [])
+            state[table] = [*parts, self._write(table, rows)] if len(parts) < MOST_PARTS else [self._write(table, self.read(table).unionByName(rows, allowMissingColumns=True))]
+        number = f"{int(last) + 1:012d}"
+        fs, made = self._at(f"manifests/.{number}-{uuid.uuid4().hex}")
+        out = fs.create(made)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        final = self._at(f"manifests/{number}.json")[1]
+        if fs.exists(final) or not fs.rename(made, final):
+            raise RuntimeError(f"another writer has published {number}; read again and repeat the call")
+
+    def _write(self, table: str, rows: DataFrame) -> str:
         want = self.spark.createDataFrame([], TABLES[table]).schema
-        next_ = (self._versions(table) or [0])[-1] + 1
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields]).write.mode("overwrite").parquet(f"{self.path}/{table}/v{next_}")
+        folder = f"{table}/{uuid.uuid4().hex}"
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields]).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        self.commit({table: rows})
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.commit(append={table: rows})
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the newest snapshots."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in TABLES:
-            for v in self._versions(table)[:-keep]:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/v{v}")
-                path.getFileSystem(conf).delete(path, True)
+        """Deletes all but the newest manifests, and the folders that none of these names."""
+        manifests = self._manifests()
+        if not manifests:
+            return
+        used = {f for m in manifests[-keep:] for folders in self._state(m).values() for f in folders}
+        gone = [f"manifests/{m}" for m in manifests[:-keep]] + [f"{t}/{n}" for t in TABLES for n in self._names(t) if f"{t}/{n}" not in used]
+        for name in gone:
+            fs, path = self._at(name)
+            fs.delete(path, True)
 
     def log(self, memories: DataFrame) -> None:
         """Appends saves as text blocks, a folder per day; repeats of a text are kept here."""

@@ -94,3 +94,35 @@ def test_command_line(spark, tmp_path):
     assert call("clusters")["cluster_count"] == 1 and call("cluster", "PLACE")["entities"] == ["Paris"]
     assert call("connect", "Paris", "paris")["connected"] and call("recall", "Paris")["connected_count"] == 0
     assert json.loads(call("export-graph"))["nodes"][0]["id"] == "Paris"
+
+
+def test_a_commit_is_seen_as_a_whole(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/w")
+    rows = lambda *n: spark.createDataFrame([(i, f"a{i}", "c") for i in n], "id long, alias string, canonical string")
+    s.commit({"aliases": rows(1)}, {"clusters": spark.createDataFrame([(1, "X", "a")], "cluster_id long, label string, entity_name string")})
+    for i in range(2, 5):
+        s.append("aliases", rows(i))
+    assert sorted(r.id for r in s.read("aliases").collect()) == [1, 2, 3, 4] and s.read("clusters").count() == 1
+
+    class Broken(Store):
+        def _write(self, table, rows):
+            if table == "clusters":
+                raise OSError("disk full")
+            return super()._write(table, rows)
+
+    with pytest.raises(OSError, match="full"):
+        Broken(spark, s.path).commit({"aliases": rows(9), "clusters": s.read("clusters")})
+    assert sorted(r.id for r in s.read("aliases").collect()) == [1, 2, 3, 4]
+    s.vacuum(keep=1)
+    assert sorted(r.id for r in s.read("aliases").collect()) == [1, 2, 3, 4] and len(s._names("aliases")) == 4 and len(s._manifests()) == 1
+
+
+def test_searches_use_the_index_while_it_has_all_memories(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/i")
+    e.save_memory("red apple", now=NOW)
+    e.save_memory("green apple, red leaf", now=NOW)
+    assert e._index(e.store.read("memories")) and [r["content"] for r in e.search_memories("red-leaf", limit=1, now=NOW)["results"]] == ["green apple, red leaf"]
+    e.store.append("memories", spark.createDataFrame([(77, "a red leaf", "x")], "id long, content string, content_hash string"))
+    assert e._index(e.store.read("memories")) is None
+    e.reindex()
+    assert e._index(e.store.read("memories"))
