@@ -7,7 +7,8 @@ is found, so the bin taken is the tightest compatible one. Bins carry two bitmap
 sources and of their clusters; a conflict is a bit in common.
 
 Documents larger than a bin are cut into full bins and a rest, which is packed like any other item;
-nothing is dropped. Rows are dealt into packing groups of about ``group_rows`` rows by a hash of
+nothing is dropped. The cluster of a document is that of its text without case and outer space:
+near copies are no conflict. Best fit holds within groups: rows are dealt into packing groups of about ``group_rows`` rows by a hash of
 their id, each of which is packed by one task: the bound on its memory and time. A source or
 cluster that holds a third of all rows holds a third of each group, which costs bins, not memory.
 """
@@ -100,7 +101,8 @@ def best_fit(items: DataFrame, capacity: int, group_rows: int = 4000) -> DataFra
         return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
     dealt = items.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "size", "source", "cluster"), F.lit(groups)).cast("int").alias("group"),
+        # Rows without an id may be equal in everything; their place in the input deals them out.
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "size", "source", "cluster", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)).cast("int").alias("group"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.greatest(F.lit(0), F.coalesce(F.col("size").cast("long"), F.lit(0))).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import decontam, hilbert, html_density, lm_score, matroska, packing, quality, repair, simhash, toxicity
-from quernel.workspace import read_table
+from quernel.workspace import read_table, stage
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ FROM docs LEFT JOIN a USING (r)
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.digests(matroska.store_texts(read_table(spark, sf_dir, "documents")))
+    return matroska.digests(stage(matroska.store_texts(read_table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
