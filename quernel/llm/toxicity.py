@@ -8,8 +8,10 @@ quotation mark, other. Four letter transducers rewrite the stream; each is a sma
 * target marks those within four words of a person addressed or meant, before or after,
 * threat takes a threat word for one only if a target is near; otherwise it is an ordinary word.
 
-They are composed into one machine, which runs over each clause. What a clause matches (plain,
-targeted, negated, reported insults, threats; their weights) makes the features of the document; a
+Arcs carry weights: one that marks a negated or reported word lets half of its weight through. The
+transducers are composed into one machine, whose arcs have the products; it runs over each clause and
+gives every word's class, marks and weight. What a clause matches (plain, targeted, negated, reported
+insults, threats; the sum of lexicon weight times arc weight) makes the features of the document; a
 logistic model turns these into a score, starting from the grammar's own signs.
 
 The insult lexicon is learned: whole words and word beginnings that are commoner in texts labelled
@@ -49,49 +51,57 @@ STOP = re.compile(r"[.!?;:\n…]")
 
 
 class Transducer:
-    """A deterministic letter transducer: (state, symbol) -> (state, symbol); it starts in state 0."""
+    """A deterministic weighted letter transducer: (state, symbol) -> (state, symbol, weight); it starts in state 0."""
 
-    def __init__(self, table: dict[tuple[int, int], tuple[int, int]]) -> None:
+    def __init__(self, table: dict[tuple[int, int], tuple[int, int, float]]) -> None:
         self.table = table
 
     @classmethod
     def of(cls, step, symbols) -> Transducer:
-        """Tabulate ``step(state, symbol)`` over all states that can be reached."""
+        """Tabulate ``step(state, symbol)`` -> (state, symbol [, weight]) over all states that can be reached."""
         table, todo = {}, [0]
         while todo:
             state = todo.pop()
             for symbol in symbols:
                 if (state, symbol) not in table:
-                    table[state, symbol] = step(state, symbol)
-                    if (table[state, symbol][0], symbols[0]) not in table:
-                        todo.append(table[state, symbol][0])
+                    got = step(state, symbol)
+                    table[state, symbol] = (*got, 1.0) if len(got) == 2 else got
+                    if (got[0], symbols[0]) not in table:
+                        todo.append(got[0])
         return cls(table)
 
     def outputs(self) -> list[int]:
-        return sorted({out for _, out in self.table.values()})
+        return sorted({out for _, out, _ in self.table.values()})
 
     def compose(self, other: Transducer) -> Transducer:
-        """The machine that rewrites with this one first and with ``other`` next."""
+        """The machine that rewrites with this one first and with ``other`` next; weights multiply."""
         names: dict[tuple[int, int], int] = {(0, 0): 0}
         table, todo, symbols = {}, [(0, 0)], sorted({s for _, s in self.table})
         while todo:
             pair = todo.pop()
             for symbol in symbols:
-                a, mid = self.table[pair[0], symbol]
-                b, out = other.table[pair[1], mid]
+                a, mid, v = self.table[pair[0], symbol]
+                b, out, w = other.table[pair[1], mid]
                 if (a, b) not in names:
                     names[a, b] = len(names)
                     todo.append((a, b))
-                table[names[pair], symbol] = names[a, b], out
+                table[names[pair], symbol] = names[a, b], out, v * w
         return Transducer(table)
 
-    def run(self, symbols: list[int]) -> list[int]:
+    def weighted(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """What each symbol becomes, and the weight of the arc it took."""
         state, out, table = 0, [], self.table
         for s in symbols:
-            state, o = table[state, s]
-            out.append(o)
+            state, o, w = table[state, s]
+            out.append((o, w))
         return out
 
+    def run(self, symbols: list[int]) -> list[int]:
+        return [o for o, _ in self.weighted(symbols)]
+
+
+HALF = 0.5  #: what a negated or a reported word still weighs
+
 
 def _kind(symbol: int) -> int:
     return symbol & 7
@@ -103,7 +113,7 @@ def grammar() -> Transducer:
     def negation(state, s):
         if _kind(s) == NEGATION:
             return 3, s
-        return max(0, state - 1), s | NEGATED if state and _kind(s) in hot else s
+        return (state - 1, s | NEGATED, HALF) if state and _kind(s) in hot else (max(0, state - 1), s)
 
     def report(state, s):
         """Bit 0: after a word of report; bit 1: inside quotation marks."""
@@ -111,7 +121,8 @@ def grammar() -> Transducer:
             return state | 1, s
         if _kind(s) == QUOTE:
             return state ^ 2, s
-        return state, s | REPORTED if state and _kind(s) in hot else s
+        # A word that is negated as well has been halved already.
+        return (state, s | REPORTED, 1.0 if s & NEGATED else HALF) if state and _kind(s) in hot else (state, s)
 
     def target(state, s):
         """0: nothing near; 1-4: a target was so many words ago; 5-8: an insult or threat was."""
@@ -195,12 +206,12 @@ class Model:
                 continue
             if any(k == INSULT or k == THREAT for k, _ in clause):
                 total = 0.0
-                for (_, weight), o in zip(clause, self.machine.run([k for k, _ in clause]), strict=True):
+                for (_, weight), (o, through) in zip(clause, self.machine.weighted([k for k, _ in clause]), strict=True):
                     if _kind(o) == INSULT:
                         out[3] += bool(o & TARGETED)
                         out[4] += bool(o & NEGATED)
                         out[5] += bool(o & REPORTED)
-                        total += weight * (0.5 if o & (NEGATED | REPORTED) else 1.0)
+                        total += weight * through
                     elif _kind(o) == TARGET and o & TARGETED:
                         out[3] += 1
                     out[6] += _kind(o) == THREAT and not o & (NEGATED | REPORTED)

@@ -39,6 +39,14 @@ def test_composition_equals_running_in_turn():
         assert both.run(word) == delay.run(parity.run(word))
 
 
+def test_weights_multiply_along_composed_arcs():
+    half = t.Transducer.of(lambda s, x: (1 - s, x, 0.5 if s else 1.0), [0, 1])
+    double = t.Transducer.of(lambda s, x: (s, x, 2.0 if x else 1.0), half.outputs())
+    assert half.compose(double).weighted([1, 1, 0, 0]) == [(1, 2.0), (1, 1.0), (0, 1.0), (0, 0.5)]
+    machine = t.grammar()
+    assert [w for _, w in machine.weighted([t.INSULT, t.NEGATION, t.INSULT, t.REPORT, t.INSULT, t.OTHER])] == [1.0, 1.0, 0.5, 1.0, 0.5, 1.0]
+
+
 def test_features_of_odd_texts():
     assert MODEL.features(None) == MODEL.features("") == MODEL.features("...") == [0.0] * len(t.FEATURES)
     assert MODEL.features("idiot " * 50_000)[7] > 0
