@@ -65,3 +65,63 @@ def test_documents(spark):
     per = {(r.doc_id): r.n_packets for r in got}
     assert {k: v for k, v in per.items() if k == 5} == {5: m.packets(files).where("doc_id = 5").count()}
     assert m.digests(m.store_texts(docs.limit(0))).count() == 0
+
+
+def plain_frames(data):
+    """Another reader: walks the element tree with the specification's numbers and yields each frame's bytes."""
+
+    def size_at(at):
+        width = next(w for w in range(1, 9) if data[at] >> (8 - w))
+        return int.from_bytes(data[at : at + width], "big") - (1 << 7 * width), at + width
+
+    def walk(at, end):
+        while at < end:
+            width = next(w for w in range(1, 5) if data[at] >> (8 - w))
+            ident = data[at : at + width].hex()
+            size, at = size_at(at + width)
+            if ident in ("18538067", "1f43b675", "a0"):
+                yield from walk(at, at + size)
+            elif ident in ("a3", "a1"):
+                yield from block(at, at + size)
+            at += size
+
+    def block(at, end):
+        flags, at = data[at + 3], at + 4
+        lacing = flags >> 1 & 3
+        if lacing == 0:
+            yield data[at:end]
+            return
+        count, at = data[at] + 1, at + 1
+        if lacing == 2:
+            sizes = [(end - at) // count] * count
+        else:
+            assert lacing == 3
+            sizes = []
+            for i in range(count - 1):
+                width = next(w for w in range(1, 9) if data[at] >> (8 - w))
+                value, at = size_at(at)
+                sizes.append(value if i == 0 else sizes[-1] + value - ((1 << 7 * width - 1) - 1))
+            sizes.append(end - at - sum(sizes))
+        for s in sizes:
+            yield data[at : at + s]
+            at += s
+
+    return list(walk(0, len(data)))
+
+
+def test_whole_result_equals_a_plain_version(spark):
+    rnd = random.Random(6)
+    texts = [None, "", "a", "ä€" * 40, *("".join(rnd.choice("ab \n\u00e9\u4e2d") for _ in range(rnd.choice([64, 1000, 1024, 9000, 70_000, 200_000]))) for _ in range(25))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = {r.doc_id: bytes(r.media) for r in m.store_texts(docs).collect()}
+    got = {r.doc_id: r for r in m.digests(m.store_texts(docs)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        pay = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        frames = plain_frames(files[i])
+        assert b"".join(frames) == pay and got[i].n_packets == len(frames)
+        middle = [b - 128 for b in pay]
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(pay, pay[1:], strict=False))
+        feature = f"{len(pay) // 8}ms mean={sum(middle) * 1000 // len(pay)} rms={int((sum(x * x for x in middle) * 1_000_000 // len(pay)) ** 0.5)} crossings={crossings}"
+        want = (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(files[i]), hashlib.sha256(files[i]).hexdigest(), feature)
+        assert tuple(got[i])[1:8] == want
