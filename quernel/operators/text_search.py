@@ -96,6 +96,12 @@ def bm25_search(memories: DataFrame, query: str, limit: int = 20, mode: str = "a
     return found.select("content", "date", "mood", "ts", "score", F.lit("bm25").alias("source"), "content_hash", "event_time", F.col("id").cast("string").alias("__tie"))
 
 
+def term_rows(memories: DataFrame) -> DataFrame:
+    """``(term, id, tf)``: how often each term is in each memory."""
+    cut = memories.select("id", F.explode(F.concat(terms("content"), terms(F.date_format("date", "yyyy-MM-dd")), terms("mood"))).alias("term"))
+    return cut.groupBy("term", "id").agg(F.count("*").alias("tf"))
+
+
 FIELD = 1 << 24  #: places of the second and third field begin at this and twice this, so no phrase spans two
 
 

@@ -72,12 +72,12 @@ def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_bm25_sql(ANY_OF.split(), "or", 10) + "SELECT id, content_hash, round(rank, 6) AS rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or", views.text_index(spark, sf_dir)).select("id", "content_hash", F.round("rank", 6).alias("rank"))
+    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or").select("id", "content_hash", F.round("rank", 6).alias("rank"))
 
 
 @query(_bm25_sql(ALL_OF.split(), "and", 20) + "SELECT id, round(CASE WHEN max(rank) OVER () > 0 THEN rank / max(rank) OVER () ELSE 1 END, 6) AS score FROM ranked")
 def bm25_normalised(spark, sf_dir):
-    return text_search.normalised(text_search.bm25(_memories(spark, sf_dir), ALL_OF, 20, index=views.text_index(spark, sf_dir))).select("id", F.round("score", 6).alias("score"))
+    return text_search.normalised(text_search.bm25(_memories(spark, sf_dir), ALL_OF, 20)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(["the", "idiot"], "and", 1_000_000) + "SELECT id FROM ranked")
@@ -87,9 +87,9 @@ def fts_and_match(spark, sf_dir):
 
 
 @query(_bm25_sql(ANY_OF.split(), "or", 10) + "SELECT id, content_hash, round(rank, 6) AS rank FROM ranked")
-def bm25_scan(spark, sf_dir):
-    """The same as ``bm25_topk``, without an index."""
-    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or").select("id", "content_hash", F.round("rank", 6).alias("rank"))
+def bm25_index(spark, sf_dir):
+    """The same as ``bm25_topk``, from the stored index."""
+    return text_search.bm25(_memories(spark, sf_dir), ANY_OF, 10, "or", views.text_index(spark, sf_dir)).select("id", "content_hash", F.round("rank", 6).alias("rank"))
 
 
 @query(with_views(f"WITH {_CUT} SELECT id, CAST(len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) AS BIGINT) AS hits FROM cut WHERE len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) > 0", "memories_v"))
@@ -106,7 +106,7 @@ def fts_phrase(spark, sf_dir):
 
 @query(with_views(f"WITH {_CUT}, t AS (SELECT id, unnest(c || d || m) AS term FROM cut) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY 1", "memories_v"))
 def term_stats(spark, sf_dir):
-    return text_search.term_stats(text_search.postings(_memories(spark, sf_dir)))
+    return text_search.term_stats(text_search.term_rows(_memories(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id, translate(lower(text), '{_A}', '{_B}') AS folded, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS nocase, CAST(len({_tokens('text')}) AS INTEGER) AS n_terms FROM documents")
@@ -164,7 +164,7 @@ def _legs(spark, sf_dir):
     m = _memories(spark, sf_dir)
     v = m.select("content_hash", similarity.fake_embedding("content", 64).alias("embedding"))
     q = v.where("content_hash IS NOT NULL").orderBy("content_hash").first().embedding
-    return m, [text_search.bm25_search(m, ANY_OF, 30, "or", views.text_index(spark, sf_dir)).withColumn("__tie", F.lpad("__tie", 20, "0")), vector_search.vector_search(v, q, 30)]
+    return m, [text_search.bm25_search(m, ANY_OF, 30, "or").withColumn("__tie", F.lpad("__tie", 20, "0")), vector_search.vector_search(v, q, 30)]
 
 
 _FAKE = "list_transform(range(0, 64), lambda i: (CAST('0x' || content_hash[i % 64 + 1] AS INTEGER) - 8) / 8.0)"
@@ -204,7 +204,7 @@ def hydrate(spark, sf_dir):
 def _tables(spark, sf_dir) -> search.Tables:
     m = _memories(spark, sf_dir)
     v = m.select("content_hash", similarity.fake_embedding("content", 64).alias("embedding"))
-    return search.Tables(m, views.nodes(spark, sf_dir), views.edges(spark, sf_dir), views.aliases(spark, sf_dir), v, views.text_index(spark, sf_dir))
+    return search.Tables(m, views.nodes(spark, sf_dir), views.edges(spark, sf_dir), views.aliases(spark, sf_dir), v)
 
 
 #: Current edges once for each end, numbered per node by falling weight.
