@@ -12,12 +12,14 @@ Two probing schemes:
   no link is missed.
 * ``wide_links``: three segments and larger distances. Bits that flip between similar texts are
   those whose vote was close, so the ball holds up to ``flips`` of the ``weak`` closest votes of
-  each segment. A large entry is held against two leaders only, so this is a first pass: it gathers
-  large groups in work that grows with the rows.
-
-``near_duplicates`` adds a second pass without a cap. MinHash bands meet by the similarity of the
-shingle sets alone, whatever the edit looks like, and each two texts of a band entry that are not yet
-in one component are compared. Both passes leave out pairs that can't be similar. Texts of m and n
+  each segment. A large entry is held against two leaders only, in work that grows with the rows.
+
+``near_duplicates`` has three passes, and each makes pairs of texts only that are not in one component
+yet: a text of a large group has been linked to a leader or two by then, and needn't meet the others.
+The first holds the rows of a MinHash band entry against the entry's first row, the second one is
+``wide_links``, and the third has no cap. MinHash bands meet by the similarity of the
+shingle sets alone, whatever the edit looks like, and each two texts of a band entry that are still
+apart are compared. All passes leave out pairs that can't be similar. Texts of m and n
 shingles and a similarity of s differ in at most (1 - s) / (1 + s) * (m + n) of them, and each
 shingle that only one of two texts has flips one bit of their parity sketches: if more bits differ,
 the pair is unlike for certain. Pairs whose MinHash sketches lie too far apart go as well; the rest
@@ -79,6 +81,7 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
 
 SKETCH = ("s0", "s1", "s2", "s3")  #: columns of 64 bits
 PARITY = tuple(f"o{i}" for i in range(8))  #: columns of 64 bits: whether a text has an odd number of the shingles of each bit
+FOLDED = tuple(f"p{i}" for i in range(4))  #: the same of half as many parts, as a probe carries it
 #: Drawn at random: the least values under multiples of one constant would depend on each other.
 _TURNS = np.random.default_rng(42).integers(0, 1 << 63, 64 * len(SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bands and least hashes in each: texts of similarity 0.8 share no band with probability
@@ -214,40 +217,46 @@ def _sketches_near(apart: int) -> Column:
     return reduce(Column.__add__, map(_differ, SKETCH)) <= apart
 
 
-def wide_links(prints: DataFrame, weak: int, flips: int, radius: int, apart: int) -> DataFrame:
-    """Candidate pairs ``(src, dst)`` within ``radius`` bits, at most two for each probe.
+def wide_rows(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(id, fp, close, component, n, s0, .., p0, ..)``: what ``wide_links`` needs of ``reps`` and ``comps(node, component)``."""
+    folded = [F.col(PARITY[i]).bitwiseXOR(F.col(PARITY[i + len(FOLDED)])).alias(c) for i, c in enumerate(FOLDED)]
+    placed = reps.join(comps.withColumnRenamed("node", "id"), "id", "left")
+    return placed.select("id", "fp", "close", F.coalesce("component", "id").alias("component"), "n", *SKETCH, *folded)
+
+
+def wide_links(prints: DataFrame, segment: int, weak: int, flips: int, radius: int, apart: int, similarity: float) -> DataFrame:
+    """Candidate pairs ``(src, dst)`` by one segment, within ``radius`` bits, of different components, at most two for each probe.
 
-    ``prints(id, fp, close, s0, ..)``; sketches may differ in ``apart`` bits. The rows of a table entry
-    are led by two of them, and each probe is held against these only: the first one in an order of
-    all ids, so that a large group gathers around the same few leaders, and the first one in an
-    order of the entry's own, which differs from entry to entry. So the work stays in proportion to
-    the rows however many texts are alike. A pair of which neither leads a common entry is missed.
+    ``prints`` as of ``wide_rows``; sketches may differ in ``apart`` bits, and pairs that sizes or parity
+    sketches prove unlike are left out. The rows of a table entry are led by two of them, and each
+    probe is held against these only: the first one in an order of all ids, so that a large group
+    gathers around the same few leaders, and the first one in an order of the entry's own, which
+    differs from entry to entry. So the work stays in proportion to the rows however many texts are
+    alike. A pair of which neither leads a common entry is missed.
     """
     masks = [c for f in range(flips + 1) for c in combinations(range(weak), f)]
+    low, width = WIDE_SEGMENTS[segment]
+    told = ("fp", "component", "n", *SKETCH, *FOLDED)
 
     def probe(batches):
         for batch in batches:
             fp = batch.column(1).to_numpy().astype("<i8").view(np.uint64)
-            close = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(fp), len(WIDE_SEGMENTS), weak)
-            bit = np.uint64(1) << close.astype(np.uint64)
+            close = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), dtype=np.uint8).reshape(len(fp), len(WIDE_SEGMENTS), weak)
+            bit = np.uint64(1) << close[:, segment].astype(np.uint64)
             keys = []
-            for s, (low, width) in enumerate(WIDE_SEGMENTS):
-                for m in masks:
-                    flipped = fp ^ bit[:, s, list(m)].sum(1, dtype=np.uint64)
-                    keys.append(((flipped >> np.uint64(low)) & np.uint64((1 << width) - 1)) | np.uint64(s << 40))
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.tile(batch.column(c).to_numpy(), n)) for c in (0, 1, *range(3, 3 + len(SKETCH)))), pa.array(np.concatenate(keys).view(np.int64))],
-                ["id", "fp", *SKETCH, "key"],
-            )
-
-    table = prints.select(F.col("id").alias("t_id"), F.col("fp").alias("t_fp"), *[F.col(c).alias(f"t_{c}") for c in SKETCH], F.explode(F.array(*[_key(s, low, w, F.col("fp")) for s, (low, w) in enumerate(WIDE_SEGMENTS)])).alias("key"))
-    rows = ("t_id", "t_fp", *(f"t_{c}" for c in SKETCH))
+            for m in masks:
+                flipped = fp ^ bit[:, list(m)].sum(1, dtype=np.uint64)
+                keys.append(((flipped >> np.uint64(low)) & np.uint64((1 << width) - 1)) | np.uint64(segment << 40))
+            columns = [pa.array(np.tile(batch.column(c).to_numpy(), len(keys))) for c in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64))], ["id", *told, "key"])
+
+    table = prints.select(*[F.col(c).alias(f"t_{c}") for c in ("id", *told)], _key(segment, low, width, F.col("fp")).alias("key"))
+    rows = tuple(f"t_{c}" for c in ("id", *told))
     first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("rank"), *rows))
     led = table.groupBy("key").agg(first("t_id").alias("l0"), first("key", "t_id").alias("l1"))
     led = led.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in rows]) for x in ("l0", "l1")]))).alias("l")).select("key", "l.*")
-    probes = prints.select("id", "fp", "close", *SKETCH).mapInArrow(probe, f"id long, fp long, {' long, '.join(SKETCH)} long, key long")
-    near = (_differ("fp") <= radius) & _sketches_near(apart) & (F.col("id") != F.col("t_id"))
+    probes = prints.select("id", *told, "close").mapInArrow(probe, f"id long, fp long, component long, n int, {' long, '.join((*SKETCH, *FOLDED))} long, key long")
+    near = (_differ("fp") <= radius) & _sketches_near(apart) & (F.col("component") != F.col("t_component")) & _may_be_similar(similarity, FOLDED)
     found = probes.join(led, (probes.key == led.key) & near)
     return found.select(F.least("id", "t_id").alias("src"), F.greatest("id", "t_id").alias("dst")).distinct()
 
@@ -276,10 +285,10 @@ def apart_rows(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mixed, "key")
 
 
-def _may_be_similar(similarity: float) -> Column:
+def _may_be_similar(similarity: float, parity: tuple[str, ...] = PARITY) -> Column:
     """No pair of this similarity fails: parity sketches differ in no more bits than the sets in shingles."""
     apart = (F.col("n") + F.col("t_n")) * ((1 - similarity) / (1 + similarity))
-    return (F.abs(F.col("n") - F.col("t_n")) <= apart + 1e-6) & (reduce(Column.__add__, map(_differ, PARITY)) <= apart + 1e-6)
+    return (F.abs(F.col("n") - F.col("t_n")) <= apart + 1e-6) & (reduce(Column.__add__, map(_differ, parity)) <= apart + 1e-6)
 
 
 def possible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -330,8 +339,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows ``(doc_id, same)`` and their different texts ``(same, id, root, component_id)``.
 
     ``same`` is a text's digest, ``id`` its smallest id, ``root`` its component. Large groups are
-    gathered around leaders, of SimHash entries over ``fp_shingle`` words (short shingles move fewer
-    bits for the same edit) and of MinHash bands; then all pairs of a band entry that are still apart
+    gathered around leaders, of MinHash bands and then of SimHash entries over ``fp_shingle`` words
+    (short shingles move fewer bits for the same edit); then all pairs of a band entry that are still apart
     are compared. The decision comes from ``shingle`` words. Texts are told apart by digests alone,
     so ids may be null or repeat.
     """
@@ -352,9 +361,16 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     apart = sketch_limit(similarity)
     rows = stage(band_rows(reps), "bands")
-    pairs = stage(possible(wide_links(reps, weak, flips, radius, apart).union(band_leaders(rows, apart)).distinct(), reps, similarity), "pairs")
+    pairs = stage(possible(band_leaders(rows, apart), reps, similarity), "pairs")
+    gathered = connected_components(verified(pairs, texts_of, shingle, similarity))
     release(docs.sparkSession)
-    first = connected_components(verified(pairs, texts_of, shingle, similarity))
+    wide = stage(wide_rows(reps, gathered), "wide")
+    found = []
+    for segment in range(len(WIDE_SEGMENTS)):  # one after the other, so that the disk holds the probes of one only
+        found.append(stage(wide_links(wide, segment, weak, flips, radius, apart, similarity), "found"))
+        release(docs.sparkSession)
+    more = stage(possible(reduce(DataFrame.union, found).distinct(), reps, similarity), "pairs")
+    first = connected_components(gathered.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(verified(more, texts_of, shingle, similarity)))
     live = stage(apart_rows(rows, first), "apart")
     drop_staged(rows)
     release(docs.sparkSession)
@@ -362,7 +378,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = verified(rest, texts_of, shingle, similarity)
     comps = connected_components(first.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links))
     classes = stage(_classes(reps.select(F.col("id").alias("node"), "same", F.col("doc_id").alias("id")), comps, "node").select("same", "id", "root", "component_id"), "classes")
-    for done in (reps, pairs, live, rest):
+    for done in (reps, pairs, wide, *found, more, live, rest):
         drop_staged(done)
     release(docs.sparkSession)
     return narrow, classes

@@ -221,3 +221,20 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame([*edges, (None, 3)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == brute_components({n for e in edges for n in e}, edges)
+
+
+def test_candidates_of_large_groups_grow_with_the_rows(spark, monkeypatch):
+    """Near copies of one text, all linked, and as many unlike texts around a common passage."""
+    rnd = random.Random(6)
+    base, passage = [f"b{rnd.randrange(10**6)}" for _ in range(120)], [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(100):
+        t = list(base)
+        t[rnd.randrange(len(t))] = f"e{rnd.randrange(10**6)}"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(passage + [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randint(28, 40))]))]
+    made, possible = [], simhash.possible
+    monkeypatch.setattr(simhash, "possible", lambda pairs, *rest: made.append(pairs.count()) or possible(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+    assert len({got[2 * i] for i in range(100)}) == 1 and len(set(got.values())) > 90
+    assert sum(made) <= 8 * len(rows)
