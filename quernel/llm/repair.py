@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,57 +55,72 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
     takes the ``per_round`` commonest pairs; the others have their turn in a later one. The commonest
     pair of all always gets its places, so each round makes a rule and the loop ends.
     Symbols below 2^16 make pairs of 32 bits; once there are more, both are twice as wide.
-    After a round that took all frequent pairs, only places next to a new symbol, or whose pair lost
-    its place to another one, can hold a frequent pair; the next round looks at these alone.
+    A pair of old symbols never becomes more frequent, so a place whose pair can't occur ``least``
+    times is looked at again only when it comes to lie next to a new symbol. Counts by hash slot tell:
+    all places of a pair share a slot, so none has more of them than its slot.
     """
     x = np.ascontiguousarray(ids, dtype=np.uint32)
     filled = np.diff(ends, prepend=0) > 0
     stops = np.asarray(ends, dtype=np.int64)[filled]  # where documents end by now
     rules: list[np.ndarray] = []
     live: np.ndarray | None = None  # the places to look at; None: all
-    made, done = terminals, 0
+    made, done, guess = terminals, 0, least
     per_round = min(per_round, 32_000)  # ranks are 16-bit numbers
     while len(x) > 1 and (rounds is None or done < rounds):
         symbol, pair, half = (np.uint16, np.uint32, 16) if made + per_round < 1 << 16 else (np.uint32, np.uint64, 32)
-        spin, down = (pair(0x9E3779B1), pair(32 - 18)) if half == 16 else (pair(0x9E3779B97F4A7C15), pair(64 - 18))
-        slot = lambda k, spin=spin, down=down: ((k * spin) >> down).astype(np.intp)
+        spin = pair(0x9E3779B1 if half == 16 else 0x9E3779B97F4A7C15)
+        slot = lambda k, bits, spin=spin, half=half: ((k * spin) >> k.dtype.type(2 * half - bits)).astype(np.intp)
         no_pair = pair((1 << 2 * half) - 1)  # the last symbol is never made, so no pair looks like this
         x = x.astype(symbol, copy=False)
         key = x[:-1].astype(pair)
         key <<= pair(half)
         key |= x[1:]
         key[stops[:-1] - 1] = no_pair
-        places = None if live is None else np.flatnonzero(live)
-        if places is not None and not len(places):
-            break
-        ordered = np.sort(key if places is None else key[places])
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(starts, append=len(ordered))
-        often = np.flatnonzero((counts >= least) & (ordered[starts] != no_pair))
+        places = np.arange(len(key)) if live is None else np.flatnonzero(live)
+        looked = key if live is None else key[places]
+        bits = min(max(len(looked).bit_length(), 8), 19)
+        where = slot(looked, bits)
+        # No pair occurs more often than its slot; counts past 16 bits needn't be told apart.
+        most = np.minimum(np.bincount(where, minlength=1 << bits), 65_535).astype(np.uint16)[where]
+        live = np.zeros(len(x), dtype=bool)
+        live[places] = most >= min(least, 65_535)
+        # The commonest pairs are at least about as common as those of the last round; else all are counted.
+        for bound in (guess, least) if guess > least else (least,):
+            likely = np.flatnonzero(most >= min(bound, 65_535))
+            ordered = np.sort(looked[likely])
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+            counts = np.diff(starts, append=len(ordered))
+            often = np.flatnonzero(counts >= bound)
+            often = often[ordered[starts[often]] != no_pair]
+            if len(often) >= per_round:
+                break
         if not len(often):
             break
-        whole = len(often) <= per_round
         often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
+        guess = max(least, int(counts[often[-1]]) * 3 // 4)
         pairs, none = ordered[starts[often]], len(often)  # the commonest first
         # One slot per hash holds a pair; of pairs that share a slot the commoner one has its turn now.
         holder = np.full(1 << 18, none, dtype=np.int16)
-        holder[slot(pairs[::-1])] = np.arange(none, dtype=np.int16)[::-1]
-        whole &= bool((holder[slot(pairs)] == np.arange(none)).all())
-        looked = key if places is None else key[places]
-        held = np.take(holder, slot(looked), mode="clip")
+        holder[slot(pairs[::-1], 18)] = np.arange(none, dtype=np.int16)[::-1]
+        places, looked = places[likely], looked[likely]
+        held = np.take(holder, slot(looked, 18), mode="clip")
         right = np.take(np.append(pairs, no_pair), held, mode="clip") == looked
+        right &= held < none
+        places = places[right]
         # Rank of the pair at each place, between two zeros; 0 where there is none to replace.
         value = np.zeros(len(key) + 2, dtype=np.int16)
-        value[1:-1] = (np.int16(none) - held) * right if places is None else 0
-        if places is not None:
-            value[places + 1] = (np.int16(none) - held) * right
-        peak = (value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:])
-        again = np.flatnonzero((value[1:-1] == value[:-2]) & (value[1:-1] > 0))  # a symbol three times or more
+        own = np.int16(none) - held[right]
+        value[places + 1] = own
+        before = value[places]
+        follows = own >= value[places + 2]
+        top = (own > before) & follows
+        again = np.flatnonzero(own == before)  # a symbol three times or more
         if len(again):
-            fresh = np.diff(again, prepend=-2) != 1
+            at = places[again]
+            fresh = np.diff(at, prepend=-2) != 1
             first = (again[fresh] - 1)[np.cumsum(fresh) - 1]  # where the run of equal pairs begins
-            peak[again] = peak[first] & ((again - first) % 2 == 0) & (value[1:-1][again] >= value[2:][again])
-        at = np.flatnonzero(peak)
+            top[again] = top[first] & ((at - places[first]) % 2 == 0) & follows[again]
+        at = places[top]
         found = none - value[at + 1]
         used = np.bincount(found, minlength=none)
         good = used[found] >= 2
@@ -117,12 +132,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
         x[at] = (made + number[found]).astype(symbol)
         stay = np.ones(len(x), dtype=bool)
         stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         x = x[stay]
-        if whole:
-            new = x >= symbol(made)
-            live = new[:-1] | new[1:] | (value[1:] > 0)[stay][:-1]
-        else:
-            live = None
+        new = x >= symbol(made)
+        live = new[:-1] | new[1:] | live[stay[:-1]]
         stops = stops - np.searchsorted(at, stops)  # a pair that begins before an end lies before it
         made += len(chosen)
         done += 1
@@ -133,15 +146,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
 
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that each rule expands to; a rule refers to earlier rules only."""
-    out = np.ones(len(rules), dtype=np.int64)
-    todo = np.ones(len(rules), dtype=bool)
-    while todo.any():  # as many passes as the grammar is deep
-        inside = rules.astype(np.int64) - terminals
-        ready = todo & ((inside < 0) | ~todo[np.maximum(inside, 0)]).all(axis=1)
-        part = np.where(inside[ready] < 0, 1, out[np.maximum(inside[ready], 0)])
-        out[ready] = part.sum(axis=1)
-        todo &= ~ready
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((1 if a < terminals else out[a - terminals]) + (1 if b < terminals else out[b - terminals]))
+    return np.array(out, dtype=np.int64)
 
 
 def spread(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -158,11 +166,20 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     """The ids that a run of symbols stands for."""
     if len(rules) and len(symbols) > len(rules):  # unroll each rule once, then copy runs
         lengths = rule_lengths(rules, terminals)
-        unrolled = expand(np.arange(terminals, terminals + len(rules)), rules, terminals)
+        starts = np.cumsum(lengths) - lengths
+        unrolled = np.empty(int(lengths.sum()), dtype="<u4")
+        left, at = np.arange(len(rules)), starts  # rules yet to be written, and where
+        sizes = np.append(lengths, 1)
+        while len(left):
+            both = rules[left].astype(np.int64) - terminals
+            both_at = np.stack([at, at + sizes[np.where(both[:, 0] < 0, -1, both[:, 0])]], axis=1)
+            own = both < 0
+            unrolled[both_at[own]] = both[own] + terminals
+            left, at = both[~own], both_at[~own]
         x = np.asarray(symbols, dtype=np.int64)
         rule = np.maximum(x - terminals, 0)
         own = x < terminals
-        first = np.where(own, len(unrolled) + np.cumsum(own) - 1, (np.cumsum(lengths) - lengths)[rule])
+        first = np.where(own, len(unrolled) + np.cumsum(own) - 1, starts[rule])
         return spread(np.concatenate([unrolled, x[own].astype("<u4")]), first, np.where(own, 1, lengths[rule]))
     x = np.asarray(symbols, dtype=np.int64)
     while True:
@@ -314,14 +331,17 @@ class Encoder:
         names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) + len(names) > self.keep:
             self.known, self.lengths, self.flat = {}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
-        is_plain = pc.match_substring_regex(coded.dictionary, _PLAIN).to_numpy(zero_copy_only=False).tolist()
-        plain = [w for w, ok in zip(names, is_plain, strict=True) if ok and w not in self.known]
-        odd = [w for w, ok in zip(names, is_plain, strict=True) if not ok and w not in self.known]
-        ids, lengths = self._encode_pieces(plain, odd)
-        new = plain + odd
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
-        place = np.fromiter(map(self.known.__getitem__, names), dtype=np.int32, count=len(names))[index]
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int32, count=len(names))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            is_plain = pc.match_substring_regex(coded.dictionary.take(pa.array(fresh)), _PLAIN).to_numpy(zero_copy_only=False)
+            fresh = np.concatenate([fresh[is_plain], fresh[~is_plain]])
+            new, n_plain = [names[i] for i in fresh.tolist()], int(is_plain.sum())
+            ids, lengths = self._encode_pieces(new[:n_plain], new[n_plain:])
+            place[fresh] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, place[fresh].tolist(), strict=True))
+            self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+        place = place[index]
         # What comes without a blank before it: the first piece of each text, or the text that is taken whole.
         first = flat.take(pa.array(offsets[:-1])).to_pylist()
         for i in whole:

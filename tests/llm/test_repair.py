@@ -67,6 +67,27 @@ def test_grammar_of_real_texts_is_complete_past_2_to_the_16():
     assert encoder.vocabulary() + len(rules) > 1 << 16 and len(symbols) < len(ids) / 2
 
 
+def test_rounds_sort_frequent_pairs_only(monkeypatch):
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    encoder = repair.Encoder.of(PATH)
+    ids, ends = encoder.encode(pa.array(texts))
+    seen, sort = [], np.sort
+    monkeypatch.setattr(repair.np, "sort", lambda a, *args, **kwargs: (seen.append(len(a)), sort(a, *args, **kwargs))[1])
+    repair.compress(ids, ends, encoder.vocabulary())
+    assert sum(seen) < 5 * len(ids)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=120), max_size=4), st.integers(1, 4))
+def test_expansion_and_lengths_agree(docs, per_round):
+    ids = np.array([i for d in docs for i in d], dtype="<u4")
+    symbols, _, rules = repair.compress(ids, np.cumsum([len(d) for d in docs]).astype(np.int64), 3, per_round=per_round)
+    lengths = repair.rule_lengths(rules, 3)
+    assert [len(repair.expand(np.array([3 + i]), rules, 3)) for i in range(len(rules))] == lengths.tolist()
+    many = np.tile(np.arange(3 + len(rules)), 2)  # more symbols than rules: each is unrolled once
+    assert repair.expand(many, rules, 3).tolist() == [t for s in many for t in repair.expand(np.array([s]), rules, 3)]
+
+
 TEXTS = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \nb", "x \ty", "x   y", "x  y ", "tab\t z\t", "\n ", " \n", "it's 12 o'clock -- ok?", "ÄÖ ß é", "日本 語", "<|endoftext|> x", "<|endoftext|> hi", "a<|endoftext|>", "b <|endoftext|>.\n c", "<|endoftext|", "<|ENDOFTEXT|> y", "é a   b", "w\x0b \x0bz", "w\x85 \x85z", "r\r \rz", "\x1c \x1d", "a.\nB, c!\n\nd", "x,\ry. \nz", "nul \0x y", "\0", "it's, he'll. o'", "e\u0301, x", "a.b c.. .d", "1, 2.\n3", "a,\u00a0b", "ab#%. \n"]
 
 
